@@ -7,9 +7,10 @@ shared token is rare, two shared frequent ones are. Only where a set is so long
 (``LONG`` tokens) frequent tokens are indexed one by one, by both sides: sets near that length do both.
 
 Equal sets are one class throughout. In the first pass each posting list proposes only its most central member with
-each other one, a number linear in the list; verified links give components. The second pass proposes all pairs of a
-list whose members are still in different components, so no link between components is missed. Every proposed
-pair is verified on the whole token sets (tokens of one set only cannot be shared, so tokens of two sets or more and
+each other one, a number linear in the list; verified links give components. The second pass compares all pairs of a
+list whose members are still in different components, so no link between components is missed: short lists
+propose their pairs; sets of longer lists that hang together form a cluster, which is compared in tiles. Every pair is
+verified on the whole token sets (tokens of one set only cannot be shared, so tokens of two sets or more and
 the set sizes decide), with integers.
 
 Tokens travel in compressed blocks by ranges of their 64-bit hash, then by class: a token that occurs everywhere is
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks_by_size, id_text, materialize, mix, shingle_hashes, word_hashes
-from .components import components
+from .components import components, forest
 from .packing import deltas, pack, ranges_of, undelta, unpack
 
 CHUNK = 8_000_000  # characters that a task holds as words at once
@@ -216,31 +217,67 @@ def proposals(sets: DataFrame, num: int, den: int, n_ranges: int, across: bool)
             yield from _pairs(ids[x], ids[y], n[x], n[y])
             return
         low, high = np.minimum.reduceat(comp, begin), np.maximum.reduceat(comp, begin)
-        held_a, held_b, held = [], [], 0
-        for a, m in zip(begin[low != high].tolist(), size[low != high].tolist()):
-            for i in range(a, a + m):  # each set with the later ones of its list
-                j = np.flatnonzero(comp[i + 1 : a + m] != comp[i]) + i + 1
-                j = j[(den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))]
-                held_a.append(np.full(len(j), i))
-                held_b.append(j)
-                held += len(j)
-                if held > 2_000_000:
-                    yield from _pairs(*(v[np.concatenate(h)] for v in (ids, n) for h in (held_a, held_b)))
-                    held_a, held_b, held = [], [], 0
+        mixed = low != high
+        hot = np.repeat(mixed & (size > LIST), size)
+        yield from _pairs(ids[np.repeat(begin, size)[hot]], ids[hot], None, None, True)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, m in zip(begin[mixed & (size <= LIST)].tolist(), size[mixed & (size <= LIST)].tolist()):
+            i, j = np.triu_indices(m, 1)
+            apart = comp[a + i] != comp[a + j]
+            held.append((a + i[apart], a + j[apart]))
+            if len(held) >= 4096:
+                x, y = (np.concatenate(h) for h in zip(*held))
+                yield from _pairs(ids[x], ids[y], n[x], n[y])
+                held = []
         if held:
-            yield from _pairs(*(v[np.concatenate(h)] for v in (ids, n) for h in (held_a, held_b)))
+            x, y = (np.concatenate(h) for h in zip(*held))
+            yield from _pairs(ids[x], ids[y], n[x], n[y])
 
-    def _pairs(a, b, na, nb):
-        ok = (a != b) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+    def _pairs(a, b, na, nb, hot=False):
+        ok = a != b if hot else (a != b) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
         a, b = a[ok], b[ok]
         x, y = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x[fresh], pa.int64()), pa.array(y[fresh], pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[fresh], pa.int64()), pa.array(y[fresh], pa.int64()), pa.array(np.full(int(fresh.sum()), hot))], ["a", "b", "hot"])
 
     spread = sets.select("id", "n", "weight", "component", "tokens").mapInArrow(blocks, "r int, blob binary")
-    return spread.groupBy("r").applyInArrow(pairs, "a long, b long").distinct()
+    return spread.groupBy("r").applyInArrow(pairs, "a long, b long, hot boolean").distinct()
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) forests of the links between sets of different components within each cluster (id, cluster). Clusters are
+    cut into tiles of ``TILE`` sets, and every pair of tiles is a task of its own: overlaps are a product of
+    incidence matrices, and no pair leaves the task but a spanning forest of links."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cells = clusters.join(sets, "id").join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = cells.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "n", "component", "tokens")
+
+    def compare(key, table):
+        ids, n, comp, tile = (table.column(c).to_numpy() for c in ("id", "n", "component", "tile"))
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(ids) and comp.min() != comp.max():
+            sets = [unpack(t)[0] for t in table.column("tokens").to_pylist()]
+            size = np.array(list(map(len, sets)))
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, row = flat[order], row[order]
+            shared = np.zeros((len(sets), len(sets)), np.float32)
+            for lo in range(0, int(flat[-1]) + 1, 4096):
+                a, z = np.searchsorted(flat, [lo, lo + 4096])
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[row[a:z], flat[a:z] - lo] = 1
+                shared += part @ part.T
+            x, y = np.nonzero(np.triu(similar(shared.astype(np.int64), n[:, None], n[None, :], num, den) & (comp[:, None] != comp[None, :]), 1))
+            if len(x):
+                found = ([v] for v in forest(ids[x], ids[y]))
+        a, b = (np.concatenate(v) for v in found)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,11 +307,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     sets = shared_tokens(docs, words, num, den, total, id_col, text_col).join(classes, ["h1", "h2"])
     sets = materialize(sets.select("id", "n", "weight", "tokens"), "tokens")
     n_ranges = max(4, -(-total // (8 * RANGE_TOKENS)))
-    tried = materialize(verified(proposals(sets.withColumn("component", F.col("id")), num, den, n_ranges, False), sets, num, den), "links")
+    single = sets.withColumn("component", F.col("id"))
+    tried = materialize(verified(proposals(single, num, den, n_ranges, False), sets, num, den), "links")
     first = components(tried.where("linked").select("a", "b"))
-    labelled = sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = proposals(labelled, num, den, n_ranges, True).join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, num, den).where("linked").select("a", "b"), "links")
+    labelled = materialize(sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    rest = materialize(proposals(labelled, num, den, n_ranges, True), "rest")
+    few = rest.where("not hot").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    more = verified(few, sets, num, den).where("linked").select("a", "b")
+    if not (hot := rest.where("hot")).isEmpty():
+        more = more.union(cluster_links(components(hot.select("a", "b")).withColumnRenamed("component", "cluster"), labelled, num, den))
+    more = materialize(more, "links")
     every = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
     found = first if more.isEmpty() else components(every)
     by_class = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
@@ -292,3 +334,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
 
 SALTS = 8
+LIST = 24  # lists of more sets, of different components, are compared as clusters
+TILE = 256
