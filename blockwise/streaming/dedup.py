@@ -1,0 +1,109 @@
+"""Structured Streaming forms: rows of (stream_id, seq, payload, is_last) in, fragments out as they become known.
+
+``stateful_fragments`` keeps the chunker, the bytes of the unfinished block and the hash index of each stream in the
+state store, so results do not depend on how the input falls into micro-batches. Within a micro-batch rows are sorted
+by seq; a seq at or below one already seen is an error. A row with ``is_last`` ends its stream and clears its state.
+``first_seen`` keeps the first row of every hash of a stream of blocks. There is no event time in this model; distance
+in blocks is the horizon.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.chunking import chunker
+from ..options import check_size
+
+SHAPE = "stream_id long, n long, hash string, size int, is_new boolean, back_offset long, closed boolean"
+
+
+class _Fixed:
+    def __init__(self, size: int) -> None:
+        self.size, self.held = size, 0
+
+    def ends(self, data: bytes) -> list[int]:
+        out = list(range(self.size - self.held, len(data) + 1, self.size))
+        self.held = (self.held + len(data)) % self.size
+        return out
+
+
+class FragmentProcessor(StatefulProcessor):
+    """State of a stream: (chunker, pending bytes, next number, last seq) as one value, and hash -> latest number as a
+    map. ``bound`` forgets hashes that are out of reach, every ``SWEEP`` blocks."""
+
+    SWEEP = 65536
+
+    def __init__(self, mode: str, max_size: int, bound: int | None) -> None:
+        self.mode, self.max_size, self.bound = mode, max_size, bound
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("stream", "blob binary")
+        self.index = handle.getMapState("index", "hash string", "n long")
+
+    def _fresh(self):
+        return _Fixed(self.max_size) if self.mode == "fixed" else chunker(self.mode, self.max_size)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        engine, pending, n, last = pickle.loads(self.value.get()[0]) if self.value.exists() else (self._fresh(), b"", 0, None)
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out, done = [], False
+
+        def emit(block: bytes, closed: bool) -> None:
+            nonlocal n
+            h = hashlib.sha1(block).hexdigest()
+            before = self.index.getValue((h,))[0] if self.index.containsKey((h,)) else None
+            off = n - before if before is not None and (self.bound is None or n - before <= self.bound) else None
+            self.index.updateValue((h,), (n,))
+            out.append((key[0], n, h, len(block), off is None, off, closed))
+            n += 1
+            if self.bound and n % self.SWEEP == 0:
+                for (old,), (at,) in list(self.index.iterator()):
+                    if n - at > self.bound:
+                        self.index.removeKey((old,))
+
+        for seq, payload, is_last in zip(batch["seq"], batch["payload"], batch["is_last"]):
+            if last is not None and seq <= last:
+                raise ValueError(f"stream {key[0]}: seq {seq} after {last}")
+            last, payload, begin = seq, bytes(payload or b""), 0
+            for end in engine.ends(payload):
+                emit(pending + payload[begin:end], True)
+                pending, begin = b"", end
+            pending += payload[begin:]
+            if is_last:
+                if pending:
+                    emit(pending, False)
+                done = True
+                break
+        if done:
+            self.value.clear()
+            self.index.clear()
+        else:
+            self.value.update((pickle.dumps((engine, pending, n, last)),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SHAPE.split(", ")]).astype({"back_offset": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_fragments(stream: DataFrame, mode: str = "fixed", max_size: int = 4096, bound: int | None = None) -> DataFrame:
+    """Needs the RocksDB state store provider."""
+    check_size(mode, max_size)
+    return stream.groupBy("stream_id").transformWithStateInPandas(FragmentProcessor(mode, max_size, bound), SHAPE, "append", "None")
+
+
+def first_seen(blocks: DataFrame) -> DataFrame:
+    """The first row of every hash of a streaming block table."""
+    return blocks.dropDuplicates(["hash"])
+
+
+def fixed_blocks(stream: DataFrame, max_size: int = 4096) -> DataFrame:
+    """Blocks of single-row streams, without state: (stream_id, idx, hash, size)."""
+    from ..operators.chunking import chunk
+
+    return chunk(stream, "fixed", max_size).withColumn("hash", F.sha1("payload")).drop("payload", "closed")
