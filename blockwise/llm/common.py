@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -21,12 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame | Callable[[], DataFrame], tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut, and lost executors cost
-    only the tasks that ran on them. Shuffle files of what was written become free to go."""
-    spark = df.sparkSession
+    only the tasks that ran on them. A callable that makes the table leaves no reference to it with the caller, so the
+    shuffle files of what was written are free to go at once."""
+    df = df() if callable(df) else df
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/blockwise/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
     df.write.parquet(path)
     del df
     release(spark)

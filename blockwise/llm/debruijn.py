@@ -144,8 +144,8 @@ def _content(words: list[bytes], start: int, edges: int, window: int) -> str:
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_paths), or with ``texts`` the kept text in place of its hash."""
-    spans = materialize(repeated_paths(docs, window, id_col, text_col), "paths")
-    joined = materialize(_keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left"), "joined")
+    spans = materialize(lambda: repeated_paths(docs, window, id_col, text_col), "paths")
+    joined = materialize(lambda: _keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left"), "joined")
 
     def visit(batches):
         """Paths at their coordinates, alike ones of a batch together: (path, multiplicity, hash of the words, n)."""

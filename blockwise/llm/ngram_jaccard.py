@@ -304,14 +304,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     names = materialize(token_sets(docs, words, id_col, text_col), "sets")
     total = names.agg(F.sum("n")).first()[0] or 0
     classes = names.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    sets = shared_tokens(docs, words, num, den, total, id_col, text_col).join(classes, ["h1", "h2"])
-    sets = materialize(sets.select("id", "n", "weight", "tokens"), "tokens")
+    sets = materialize(lambda: shared_tokens(docs, words, num, den, total, id_col, text_col).join(classes, ["h1", "h2"]).select("id", "n", "weight", "tokens"), "tokens")
     n_ranges = max(4, -(-total // (8 * RANGE_TOKENS)))
     single = sets.withColumn("component", F.col("id"))
-    tried = materialize(verified(proposals(single, num, den, n_ranges, False), sets, num, den), "links")
+    tried = materialize(lambda: verified(proposals(single, num, den, n_ranges, False), sets, num, den), "links")
     first = components(tried.where("linked").select("a", "b"))
-    labelled = materialize(sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    rest = materialize(proposals(labelled, num, den, n_ranges, True), "rest")
+    labelled = materialize(lambda: sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    rest = materialize(lambda: proposals(labelled, num, den, n_ranges, True), "rest")
     few = rest.where("not hot").select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(few, sets, num, den).where("linked").select("a", "b")
     if not (hot := rest.where("hot")).isEmpty():
