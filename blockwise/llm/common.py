@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -25,20 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame | Callable[[], DataFrame], tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut, and lost executors cost
     only the tasks that ran on them. A callable that makes the table leaves no reference to it with the caller, so the
-    shuffle files of what was written are free to go at once."""
-    df = df() if callable(df) else df
+    shuffle files of what was written go at once: the way for large tables."""
+    large = callable(df)
+    df = df() if large else df
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/blockwise/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner drop shuffle files that nothing refers to any more. The end of a query is still on its
+    way to listeners when its action returns, so the driver's heap is cleared once more a little later."""
+    for pause in (0.0, 0.3, 0.3):
+        time.sleep(pause)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
