@@ -29,7 +29,7 @@ from .packing import deltas, pack, ranges_of, undelta, unpack
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CHUNK = 8_000_000  # characters that a task holds as words at once
-RANGE_WINDOWS = 3_000_000  # windows a range of hashes shall hold
+RANGE_WINDOWS = 2_000_000  # windows a range of hashes shall hold
 
 
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:

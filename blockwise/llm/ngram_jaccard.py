@@ -33,7 +33,7 @@ from .components import components, forest
 from .packing import deltas, pack, ranges_of, undelta, unpack
 
 CHUNK = 8_000_000  # characters that a task holds as words at once
-RANGE_TOKENS = 3_000_000  # tokens a range of hashes shall hold
+RANGE_TOKENS = 2_000_000  # tokens a range of hashes shall hold
 RARE = 64  # tokens of more sets than this are frequent
 LONG = 160  # sets of so many tokens index frequent tokens one by one
 
