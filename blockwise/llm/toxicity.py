@@ -11,7 +11,8 @@ one; extra columns are ignored. Without any positive or negative label every sco
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -60,27 +61,30 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
     n_pos = sum(y for _, y in rows)
     if not 0 < n_pos < len(rows):
         return {}, -30.0
-    bags = [(s, y) for t, y in rows if (s := [{f for w in words for f in features(w)} for _, _, words in sentences(t)])]
-    seen, bad = Counter(), Counter()
-    for s, y in bags:
-        every = set().union(*s)
-        seen.update(every)
-        if y:
-            bad.update(every)
-    base = n_pos / len(rows)
-    names = sorted(f for f, n in seen.items() if n >= least and (bad[f] + 0.5 * base) / (n + 0.5) > 2 * base)
-    index = {f: i for i, f in enumerate(names)}
-    doc, sent, feat, y, n_sent = [], [], [], [], []
+    telling, base = _telling_buckets(rows, least), n_pos / len(rows)
+    index: dict[bytes, int] = {}
+    doc, sent, feat, y = (array("i") for _ in range(4))
     at = 0
-    for d, (s, label) in enumerate(bags):
-        for words in s:
-            found = [index[f] for f in words if f in index]
-            feat += found
-            sent += [at] * len(found)
-            doc.append(d)
+    for text, label in rows:
+        if not (found := sentences(text)):
+            continue
+        for _, _, words in found:
+            held = {f for w in words for f in features(w) if telling[_bucket(f)]}
+            feat.extend([index.setdefault(f, len(index)) for f in held])
+            sent.extend([at] * len(held))
+            doc.append(len(y))
             at += 1
         y.append(label)
-    doc, sent, feat, y = (np.array(x, np.int64) for x in (doc, sent, feat, y))
+    feat, sent, doc, y = (np.array(x, np.int64) for x in (feat, sent, doc, y))
+    once = np.unique(np.stack([doc[sent], feat], axis=1), axis=0) if len(feat) else np.zeros((0, 2), np.int64)
+    n_docs = np.bincount(once[:, 1], minlength=len(index))
+    n_bad = np.bincount(once[:, 1], y[once[:, 0]], minlength=len(index))
+    chosen = np.flatnonzero((n_docs >= least) & ((n_bad + 0.5 * base) / (n_docs + 0.5) > 2 * base))
+    place = np.full(len(index), -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    every = list(index)
+    names = [every[i] for i in chosen.tolist()]
+    sent, feat = sent[place[feat] >= 0], place[feat[place[feat] >= 0]]
     # a sentence without features only has the bias: its probability is kept small by starting low
     w, b = np.zeros(len(names)), -7.0
     gw, gb = np.full(len(names), 1e-6), 1e-6
@@ -100,6 +104,24 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
     return {f: float(v) for f, v in zip(names, w) if abs(v) > 0.05}, float(b)
 
 
+BUCKETS = 1 << 23
+
+
+def _bucket(feature: bytes) -> int:
+    return zlib.crc32(feature) & (BUCKETS - 1)
+
+
+def _telling_buckets(rows: list[tuple[str, int]], least: int) -> np.ndarray:
+    """Of hashed features, which buckets may hold one that toxic documents have clearly more often. Counting by bucket
+    keeps the driver's memory fixed; names are only kept for these."""
+    seen, bad = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for text, label in rows:
+        own = np.fromiter({_bucket(f) for _, _, words in sentences(text) for w in words for f in features(w)}, np.int64)
+        seen[own] += 1
+        bad[own] += label
+    return (seen >= least) & ((bad + 0.5) / (seen + 0.5) > 1.5 * sum(y for _, y in rows) / len(rows))
+
+
 def bag_scores(text: str, weights: dict[bytes, float], bias: float, known: dict[bytes, float], found: list | None = None) -> float:
     """Noisy-or of the sentence probabilities of one text; ``known`` keeps words' weights; ``found`` takes the
     (start byte, end byte, probability) of sentences above one half. The bias alone is no evidence: sentences without
