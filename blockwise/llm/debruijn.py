@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks_by_size, id_text, materialize, mix, word_hashes
+from .common import chunks_by_size, id_text, materialize, mix, trim, word_hashes
 from .packing import deltas, pack, ranges_of, undelta, unpack
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,6 +108,7 @@ def repeated_paths(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             named, own = np.unique(who[a:z], return_inverse=True)
             blob = pack(h[a:z], count[a:z].astype(np.uint64), own.astype(np.uint32), at[a:z], k1[named], k2[named])
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([blob], pa.binary())], ["g", "blob"])
+        trim()
 
     def paths(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[] for _ in range(5)]
@@ -132,6 +133,7 @@ def repeated_paths(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         for a, z in zip(row.tolist(), [*row[1:].tolist(), len(begin)]):
             out.append(pack(at[begin[a:z]], size[a:z].astype(np.uint32), count[begin[a:z]], name[a:z]))
         at_row = begin[row]
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(k1[at_row].view(np.int64)), pa.array(k2[at_row].view(np.int64)), pa.array(out, pa.binary())], ["k1", "k2", "spans"])
 
     found = rows.select("k1", "k2", "text").mapInArrow(edges, "r int, blob binary").groupBy("r").applyInArrow(repeats, "g long, blob binary")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks_by_size, id_text, materialize, mix, shingle_hashes, word_hashes
+from .common import chunks_by_size, id_text, materialize, mix, shingle_hashes, trim, word_hashes
 from .components import components, forest
 from .packing import deltas, pack, ranges_of, undelta, unpack
 
@@ -136,6 +136,7 @@ def shared_tokens(docs: DataFrame, words: int, num: int, den: int, total: int, i
             a, z = np.searchsorted(group, [np.uint64(g), np.uint64(g + 1)])
             named, own = np.unique(who[a:z], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([pack(tokens[a:z], df[a:z].astype(np.uint32), own.astype(np.uint32), h1[named], h2[named], n[named])], pa.binary())], ["g", "blob"])
+        trim()
 
     def sets_again(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[] for _ in range(5)]
@@ -153,6 +154,7 @@ def shared_tokens(docs: DataFrame, words: int, num: int, den: int, total: int, i
             size = int(n[a])
             if prefix_tokens(size, size - (z - a), num, den) >= 2:
                 out.append((h1[a], h2[a], size, float(df[a:z].sum() / size), pack(tokens[a:z], df[a:z])))
+        trim()
         yield pa.RecordBatch.from_arrays([_long(np.array([o[0] for o in out], np.uint64)), _long(np.array([o[1] for o in out], np.uint64)), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.binary())], ["h1", "h2", "n", "weight", "tokens"])
 
     ranged = id_text(docs, id_col, text_col).select("text").mapInArrow(blocks, "r int, blob binary").groupBy("r").applyInArrow(frequencies, "g long, blob binary")
@@ -321,7 +323,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     by_class = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     salted = by_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # equal sets may be a third of all rows
     out = names.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks_by_size, id_text
+from .common import chunks_by_size, id_text, trim
 
 MARK = "▁"
 WIDE = 48
 NONE = np.int64(2**62)
+CHUNK = 4_000_000  # characters whose segments and results a task holds at once
 OUTSIDE = 1 << 20  # symbols from here on are code points without a piece
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -219,7 +220,7 @@ def spelled_out(key: str) -> str:
 class Codec:
     """Encodes chunks of texts; what it knows of segments is bounded by ``keep`` and one chunk."""
 
-    def __init__(self, model_path: str, keep: int = 400_000, check: bool = True) -> None:
+    def __init__(self, model_path: str, keep: int = 300_000, check: bool = True) -> None:
         self.vocab, self.keep, self.check, self.known = vocabulary(model_path), keep, check, {}
 
     def learn(self, keys: list[str]) -> None:
@@ -245,7 +246,7 @@ class Codec:
 
     def run(self, texts: list[str]):
         """(ids joined by commas, number of ids, decoded text) of each text."""
-        for a, b in chunks_by_size(texts, 4_000_000):
+        for a, b in chunks_by_size(texts, CHUNK):
             split = [segments_of(t, self.vocab.lines_apart) for t in texts[a:b]]
             if len(self.known) > self.keep:
                 self.known = {}
@@ -264,11 +265,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def scan(batches):
         gc.disable()  # nothing here is cyclic, and scans of large tables of tuples cost much
-        codec = Codec(model_path, check=check)
-        for b in batches:
-            got = list(codec.run(b.column(1).to_pylist())) if not digests else [(sha(i), n, sha(d)) for i, n, d in codec.run(b.column(1).to_pylist())]
-            ids = pa.array([g[0] for g in got], pa.string()) if digests else pa.array([[int(x) for x in g[0].split(",") if x] for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[1] for g in got], pa.int64()), ids, pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", *names])
+        try:
+            codec = Codec(model_path, check=check)
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                for lo, hi in chunks_by_size(texts, CHUNK):  # results leave by the chunk, so their size is bounded
+                    ids, counts, said = zip(*codec.run(texts[lo:hi]))
+                    first = pa.array(map(sha, ids), pa.string()) if digests else pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), np.concatenate([np.fromstring(i, np.int32, sep=",") for i in ids]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), first, pa.array(map(sha, said) if digests else said, pa.string())], ["doc_id", "n_tokens", *names])
+        finally:
+            gc.enable()
+            trim()
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return id_text(docs, id_col, text_col).mapInArrow(scan, f"doc_id long, n_tokens long, {names[0]} {'string' if digests else 'array<int>'}, {names[1]} string")
