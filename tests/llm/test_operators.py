@@ -148,7 +148,7 @@ def test_licences(spark):
     rows = [(1, "Under the MIT License, and CC-BY-NC!"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licenced under teh GNU General Public License, version 3."), (4, None), (5, "nothing " * 5000), (6, "cc by nc cc by nc"), (6, "under the mit licenses")]
     out = {(r.doc_id, r.n_words): r for r in license_scan.digest(license_scan.find_licences(table(spark, rows))).collect()}
     assert (out[1, 8].n_base, out[1, 8].first_word, out[1, 8].last_word, out[1, 8].base_labels) == (2, 0, 5, "cc-by-nc,mit")
-    assert out[2, 7].base_labels == "apache-2" and out[2, 7].first_word == 3
+    assert out[2, 8].base_labels == "apache-2" and out[2, 8].first_word == 3
     r = next(v for k, v in out.items() if k[0] == 3)
     assert r.n_base == 0 and r.labels == "gpl-3" and 0.9 < r.score < 1 and r.first_word is None
     assert out[4, 0].score == 0 and out[4, 0].labels == "" and out[5, 5000].n_spans == 0
