@@ -32,7 +32,7 @@ from .common import chunks_by_size, id_text, materialize, mix, shingle_hashes, t
 from .components import components, forest
 from .packing import deltas, pack, ranges_of, undelta, unpack
 
-CHUNK = 8_000_000  # characters that a task holds as words at once
+CHUNK = 5_000_000  # characters that a task holds as words at once
 RANGE_TOKENS = 2_000_000  # tokens a range of hashes shall hold
 RARE = 64  # tokens of more sets than this are frequent
 LONG = 160  # sets of so many tokens index frequent tokens one by one
@@ -72,6 +72,7 @@ def token_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
                 out.append((len(s), *_name(s)))
             cols = np.array(out, np.uint64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), *(_long(cols[:, i]) for i in range(3))], ["id", "n", "h1", "h2"])
+        trim()
 
     return id_text(docs, id_col, text_col).mapInArrow(scan, "id long, n long, h1 long, h2 long")
 
@@ -295,6 +296,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
                 out.append(bool(similar(int((mine[at] == other).sum()), na, nb, num, den)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+        trim()
 
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, trim
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -264,6 +264,7 @@ def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "<SECRET>") -> D
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(clean, c.to_pylist()), c.type) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+        trim()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

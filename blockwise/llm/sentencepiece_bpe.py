@@ -30,7 +30,8 @@ from .common import chunks_by_size, id_text, trim
 MARK = "▁"
 WIDE = 48
 NONE = np.int64(2**62)
-CHUNK = 4_000_000  # characters whose segments and results a task holds at once
+CHUNK = 1_500_000  # characters whose segments a task holds at once
+ROWS = 500  # rows whose results it holds
 OUTSIDE = 1 << 20  # symbols from here on are code points without a piece
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -220,7 +221,7 @@ def spelled_out(key: str) -> str:
 class Codec:
     """Encodes chunks of texts; what it knows of segments is bounded by ``keep`` and one chunk."""
 
-    def __init__(self, model_path: str, keep: int = 300_000, check: bool = True) -> None:
+    def __init__(self, model_path: str, keep: int = 200_000, check: bool = True) -> None:
         self.vocab, self.keep, self.check, self.known = vocabulary(model_path), keep, check, {}
 
     def learn(self, keys: list[str]) -> None:
@@ -268,11 +269,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         try:
             codec = Codec(model_path, check=check)
             for b in batches:
-                texts = b.column(1).to_pylist()
-                for lo, hi in chunks_by_size(texts, CHUNK):  # results leave by the chunk, so their size is bounded
-                    ids, counts, said = zip(*codec.run(texts[lo:hi]))
+                for at in range(0, b.num_rows, ROWS):
+                    texts = b.column(1).slice(at, ROWS).to_pylist()
+                    ids, counts, said = zip(*codec.run(texts))  # results leave by few rows, so their size is bounded
                     first = pa.array(map(sha, ids), pa.string()) if digests else pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), np.concatenate([np.fromstring(i, np.int32, sep=",") for i in ids]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), first, pa.array(map(sha, said) if digests else said, pa.string())], ["doc_id", "n_tokens", *names])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, ROWS), pa.array(counts, pa.int64()), first, pa.array(map(sha, said) if digests else said, pa.string())], ["doc_id", "n_tokens", *names])
         finally:
             gc.enable()
             trim()

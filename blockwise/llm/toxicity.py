@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text
+from .common import id_text, trim
 
 _SENTENCE = re.compile(rb"[.!?\n]+")
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -152,7 +152,7 @@ def score(docs: DataFrame, weights: dict[bytes, float], bias: float, id_col: str
         for b in batches:
             scores, spans = [], []
             for t in b.column(1).to_pylist():
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known = {}
                 spans.append(found := [])
                 scores.append(bag_scores(t, weights, bias, known, found))
@@ -171,9 +171,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = 12_000, threshol
         for b in batches:
             ok = []
             for t in b.column(at).to_pylist():
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known = {}
                 ok.append(not t or bag_scores(t, weights, bias, known) < threshold)
             yield b.filter(pa.array(ok, pa.bool_()))
+        del known
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
