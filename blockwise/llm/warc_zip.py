@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, partitions, shared_dir
+from .common import materialize, partitions, shared_dir, trim
 
 LEAST = 100
 SALTS = 8
+HELD = 16_000_000  # bytes of payloads that a batch of read records holds
 _STORED, _END, _CENTRAL, _LOCAL, _END64, _LOCATOR = 0, b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04", b"PK\x06\x06", b"PK\x06\x07"
 _DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -180,7 +181,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         done = []
         for b in batches:
-            for i, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns)):
+            for row in range(b.num_rows):  # one payload at a time is a Python object
+                i, url, payload, digest, first = (c[row].as_py() for c in b.columns)
                 if not state:
                     path = f"{folder}/{uuid.uuid4().hex}.wacz"
                     store, name = _open(path)
@@ -197,6 +199,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     state = {}
         if state:
             done.append(finish())
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
 
     return materialize(dealt.mapInArrow(write, "path string, records long"), "manifest")
@@ -223,9 +226,18 @@ def read_archives(paths: DataFrame, payloads: bool = False, block: int = 512) ->
         for b in batches:
             for path, offsets, lengths in zip(*(c.to_pylist() for c in b.columns)):
                 store, name = _open(path)
+                out, held = [], 0
                 with store.open_input_file(name) as file:
-                    out = [parse_record(gzip.decompress(file.read_at(n, at))) for at, n in zip(offsets, lengths)]
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in types.names} for r in out], schema=types)
+                    for at, n in zip(offsets, lengths):
+                        record = parse_record(gzip.decompress(file.read_at(n, at)))
+                        out.append({k: record[k] for k in types.names})  # payloads stay only where they are asked for
+                        held += len(out[-1].get("payload") or b"")
+                        if held >= HELD:
+                            yield pa.RecordBatch.from_pylist(out, schema=types)
+                            out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=types)
+        trim()
 
     types = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + [("payload", pa.binary())] * payloads)
     blocks = paths.select("path").mapInArrow(locate, "path string, offsets array<long>, lengths array<long>").repartition(partitions(paths.sparkSession))
