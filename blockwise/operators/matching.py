@@ -88,17 +88,22 @@ class EvictingIndex:
 
 
 def _evicting(blocks: DataFrame, bound: int, scope: list[str]) -> DataFrame:
-    """Only (n, hash) enter the sequential part; other columns are joined again by n."""
-
-    def run(table):
-        table = table.sort_by("n")
-        index = EvictingIndex(bound)
-        n = table.column("n").to_pylist()
-        offs = [index.back_offset(h, i) for h, i in zip(table.column("hash").to_pylist(), n)]
-        return table.select([*scope, "n"]).append_column("back_offset", pa.array(offs, pa.int64()))
+    """Only (n, hash) enter the sequential part; other columns are joined again by n. A task streams its scopes one after
+    the other in order of n and holds nothing but the index, so its memory has the bound however long a scope is."""
+
+    def run(batches):
+        at, index = None, None
+        for b in batches:
+            scopes, n, offs = list(zip(*(b.column(c).to_pylist() for c in scope))), b.column("n").to_pylist(), []
+            for s, i, h in zip(scopes, n, b.column("hash").to_pylist()):
+                if index is None or s != at:
+                    at, index = s, EvictingIndex(bound)
+                offs.append(index.back_offset(h, i))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in scope), b.column("n"), pa.array(offs, pa.int64())], [*scope, "n", "back_offset"])
 
     kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in scope)
-    found = blocks.select(*scope, "n", "hash").groupBy(*scope).applyInArrow(run, f"{kinds}, n long, back_offset long")
+    dealt = blocks.select(*scope, "n", "hash").repartition(*scope).sortWithinPartitions(*scope, "n")
+    found = dealt.mapInArrow(run, f"{kinds}, n long, back_offset long")
     return blocks.join(found, [*scope, "n"]).withColumn("is_new", F.col("back_offset").isNull())
 
 
