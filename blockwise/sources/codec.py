@@ -166,11 +166,14 @@ def physical_spans(index: DataFrame) -> DataFrame:
     return index.where("kind <> 'end'").groupBy("stream_id", "phys_id").agg(F.first("size").alias("size"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
 
 
-def peak_memory(spans: DataFrame) -> DataFrame:
+def peak_memory(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
     """(stream_id, peak_bytes): the most bytes that a decoder holds at once if it keeps each block from its first to
-    its last use."""
+    its last use. Running sums stay within ranges of ``width`` numbers; what is held before a range is added to its
+    peak, so a stream of any length is spread over tasks."""
     events = spans.select("stream_id", F.col("first_n").alias("n"), F.col("size").alias("add"), F.lit(0).alias("drop")).unionAll(spans.select("stream_id", F.col("last_n").alias("n"), F.lit(0).alias("add"), F.col("size").alias("drop")))
-    per = events.groupBy("stream_id", "n").agg(F.sum("add").alias("add"), F.sum("drop").alias("drop"))
-    w = Window.partitionBy("stream_id").orderBy("n")
+    per = events.withColumn("part", F.floor(F.col("n") / width)).groupBy("stream_id", "part", "n").agg(F.sum("add").alias("add"), F.sum("drop").alias("drop"))
+    w = Window.partitionBy("stream_id", "part").orderBy("n")
     held = F.sum("add").over(w) - F.coalesce(F.sum("drop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("held", held).groupBy("stream_id").agg(F.max("held").cast("long").alias("peak_bytes"))
+    parts = per.withColumn("held", held).groupBy("stream_id", "part").agg(F.max("held").alias("held"), F.sum(F.col("add") - F.col("drop")).alias("net"))
+    ahead = F.coalesce(F.sum("net").over(Window.partitionBy("stream_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    return parts.withColumn("held", F.col("held") + ahead).groupBy("stream_id").agg(F.max("held").cast("long").alias("peak_bytes"))

@@ -239,3 +239,12 @@ def test_hashes(spark):
         assert spark.range(1).select(matching.block_hash(F.lit(b"abc"), name)).first()[0] == hashlib.new(name, b"abc").hexdigest()
     with pytest.raises(options.OptionError):
         matching.block_hash(F.lit(b""), "crc")
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 20])
+def test_peak_memory_over_ranges(spark, width):
+    rng = random.Random(5)
+    spans = [(s, (a := rng.randrange(1, 40)), a + rng.randrange(20), rng.randrange(1, 100)) for s in range(3) for _ in range(15)]
+    want = {s: max(sum(z for t, a, b, z in spans if t == s and a <= n <= b) for n in range(70)) for s in range(3)}
+    got = codec.peak_memory(spark.createDataFrame(spans, "stream_id long, first_n long, last_n long, size int"), width)
+    assert {r.stream_id: r.peak_bytes for r in got.collect()} == want
