@@ -46,7 +46,7 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edit_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.near_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text, mix, partitions, word_hashes
+from .common import id_text, materialize, mix, partitions, word_hashes
 
 BITS = 256
 WORD_WEIGHT, PAIR_WEIGHT = 0.25, 1.0
@@ -127,9 +127,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return with_next(docs, visit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", id_col, text_col)
 
 
-def within_radius(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int = BITS) -> DataFrame:
-    """(a, b, distance) of all pairs a < b of distinct fingerprints (hex, column ``fingerprint``) that differ in at most
-    ``radius`` bits. Equal fingerprints count once; their rows are their class.
+def _block_tables(prints: DataFrame, radius: int, spare: int, bits: int, emit, schema: str) -> DataFrame:
+    """``emit(fingerprints, x, y, distances)`` of all pairs (x, y) of distinct fingerprints (hex) that differ in at most
+    ``radius`` bits, once each, as rows of ``schema``.
 
     Of ``radius + spare`` blocks at least ``spare`` agree, so the pair meets in the table of those blocks; it is
     reported from the first table in which it meets. A key shared by more than ``SPLIT`` fingerprints is cut into
@@ -137,43 +137,88 @@ def within_radius(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int
     blocks = radius + spare
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
     tables = list(combinations(range(blocks), spare))
-    classes = prints.where("fingerprint is not null").select("fingerprint").distinct()
+    classes = prints.where("fingerprint is not null").select(F.unhex("fingerprint").alias("f")).distinct()
+
+    def bytes_of(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, bits // 8)
+
+    def cut(v: np.ndarray) -> np.ndarray:
+        """A number for each block of each fingerprint."""
+        word, out = np.unpackbits(v, axis=1), np.zeros((len(v), blocks), np.uint64)
+        for n, (a, z) in enumerate(zip(edges, edges[1:])):
+            for lo in range(a, z, 64):  # blocks of over 64 bits are folded
+                part = word[:, lo : min(z, lo + 64)].astype(np.uint64)
+                out[:, n] = mix(out[:, n]) + (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
 
     def keys(batches):
         for b in batches:
-            out = []
-            for f in b.column(0).to_pylist():
-                v = int(f, 16)
-                cut = [(v >> (bits - edges[i + 1])) & ((1 << (edges[i + 1] - edges[i])) - 1) for i in range(blocks)]
-                out += [(f, t, "-".join(format(cut[i], "x") for i in chosen)) for t, chosen in enumerate(tables)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.int32(), pa.string()))], ["fingerprint", "t", "key"])
-
-    keyed = classes.mapInArrow(keys, "fingerprint string, t int, key string").withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.lit(1 << 20)))
+            numbers = cut(bytes_of(b.column(0)))
+            for t, chosen in enumerate(tables):
+                key = np.full(len(numbers), t, np.uint64)
+                for n in chosen:
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + numbers[:, n])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64))], ["f", "t", "key"])
+
+    keyed = classes.mapInArrow(keys, "f binary, t int, key long")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("tiles", F.ceil(F.col("m") / SPLIT).cast("int"))
-    cells = keyed.join(sizes, ["t", "key"]).withColumn("tile", (F.col("tile") % F.col("tiles")).cast("int"))
+    cells = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = cells.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fingerprint")
+    cells = cells.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "f")
 
     def compare(key, table):
-        t, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        rows = sorted(zip(table.column("fingerprint").to_pylist(), table.column("tile").to_pylist()))
-        v = np.array([list(bytes.fromhex(f)) for f, _ in rows], np.uint8)
-        tile = np.array([x for _, x in rows])
-        word = np.unpackbits(v, axis=1)
-        cut = [[hash(word[r, edges[n] : edges[n + 1]].tobytes()) for n in range(blocks)] for r in range(len(rows))]
-        out = []
-        for r in range(len(rows) - 1):
-            near = np.bitwise_count(v[r + 1 :] ^ v[r]).sum(axis=1)
-            ok = near <= radius
-            if i != j:
-                ok &= tile[r + 1 :] != tile[r]
-            for s in (np.flatnonzero(ok) + r + 1).tolist():
-                same = [n for n in range(blocks) if cut[r][n] == cut[s][n]]
-                if tables[t] == tuple(same[:spare]):
-                    out.append((rows[r][0], rows[s][0], int(near[s - r - 1])))
-        return pa.table({n: pa.array([o[c] for o in out], ty) for c, (n, ty) in enumerate((("a", pa.string()), ("b", pa.string()), ("distance", pa.int32())))})
-
-    return cells.groupBy("t", "key", "i", "j").applyInArrow(compare, "a string, b string, distance int")
-
-
-SPLIT = 1024
+        chosen, i, j = tables[key[0].as_py()], key[2].as_py(), key[3].as_py()
+        v, own = bytes_of(table.column("f")), table.column("tile").to_numpy()
+        numbers, wide = cut(v), v.view(np.uint64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), 128):
+            block = left[at : at + 128]
+            far = sum(np.bitwise_count(wide[block, c][:, None] ^ wide[right, c][None, :]).astype(np.int16) for c in range(wide.shape[1]))
+            ok = far <= radius
+            if i == j:
+                ok &= block[:, None] < right[None, :]
+            x, y = np.nonzero(ok)
+            same = numbers[block[x]] == numbers[right[y]]
+            first = same[:, list(chosen)].all(axis=1) & (same[:, : chosen[-1] + 1].sum(axis=1) == spare)
+            for c, val in zip(found, (block[x[first]], right[y[first]], far[x[first], y[first]].astype(np.int64))):
+                c.append(val)
+        return emit(table.column("f").to_pylist(), *map(np.concatenate, found))
+
+    return cells.groupBy("t", "key", "i", "j").applyInArrow(compare, schema)
+
+
+def within_radius(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int = BITS) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of distinct fingerprints (hex, column ``fingerprint``) that differ in at most
+    ``radius`` bits. Equal fingerprints count once; their rows are their class."""
+
+    def pairs(f, x, y, far):
+        rows = [(*sorted((f[a].hex(), f[b].hex())), d) for a, b, d in zip(x.tolist(), y.tolist(), far.tolist())]
+        return pa.table({n: pa.array([r[c] for r in rows], t) for c, (n, t) in enumerate((("a", pa.string()), ("b", pa.string()), ("distance", pa.int32())))})
+
+    return _block_tables(prints, radius, spare, bits, pairs, "a string, b string, distance int")
+
+
+def near_counts(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int = BITS) -> DataFrame:
+    """(fingerprint, n_near): to how many other distinct fingerprints each one is within the radius, those with none
+    left out. Counts alone leave a task, never pairs."""
+
+    def counts(f, x, y, far):
+        n = np.bincount(x, minlength=len(f)) + np.bincount(y, minlength=len(f))
+        at = np.flatnonzero(n)
+        return pa.table({"f": pa.array([f[a] for a in at.tolist()], pa.binary()), "n": pa.array(n[at].astype(np.int64))})
+
+    found = _block_tables(prints, radius, spare, bits, counts, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n_near"))
+    return found.select(F.lower(F.hex("f")).alias("fingerprint"), "n_near")
+
+
+def near_report(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """``edit_report`` with ``n_near``: how many other distinct fingerprints of the table lie within the radius."""
+    report = materialize(lambda: edit_report(docs, id_col, text_col, bits), "fingerprints")
+    salted = near_counts(report, radius, bits=bits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # equal texts may be a third of all rows
+    joined = report.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fingerprint", "salt"], "left")
+    return joined.select(*report.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
+SALTS = 8
+SPLIT = 8192

@@ -69,7 +69,7 @@ def test_jaccard(spark, monkeypatch, words, num, rare, some):
 def test_empty_tables(spark):
     none = table(spark, [])
     for df in (
-        ngram_jaccard.jaccard_components(none), debruijn.remove_repeats(none), simhash.edit_report(none), secrets.digest(secrets.find_secrets(none)), license_scan.digest(license_scan.find_licences(none)),
+        ngram_jaccard.jaccard_components(none), debruijn.remove_repeats(none), simhash.edit_report(none), simhash.near_report(none), secrets.digest(secrets.find_secrets(none)), license_scan.digest(license_scan.find_licences(none)),
         sentencepiece_bpe.encode(none, tokenizer_path()), mixing.mix_documents(none), toxicity.score(none, {}, -30.0),
     ):
         assert df.count() == 0
@@ -189,7 +189,7 @@ def test_toxicity(spark):
     assert toxicity.train([("a", 0)]) == ({}, -30.0)
 
 
-def test_simhash(spark):
+def test_simhash(spark, monkeypatch):
     rows = [(i, t) for i, t in ROWS]
     ring = sorted(((i, t or "") for i, t in rows if i is not None), key=lambda x: x[0])
     out = simhash.edit_report(table(spark, rows)).collect()
@@ -208,6 +208,11 @@ def test_simhash(spark):
         f = sorted({simhash.fingerprint(t or "").hex() for _, t in rows})
         want = {(a, b): d for x, a in enumerate(f) for b in f[x + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
         assert got == want
+    monkeypatch.setattr(simhash, "SPLIT", 8)  # tiles of tiles
+    assert {(r.a, r.b): r.distance for r in simhash.within_radius(prints, 20).collect()} == want
+    near = simhash.near_report(table(spark, rows), 20).collect()
+    assert sorted(map(str, (r[:-1] for r in near))) == sorted(map(str, (tuple(r) for r in out)))
+    assert all(r.n_near == sum(r.fingerprint in pair for pair in want) for r in near) and any(r.n_near for r in near)
 
 
 def test_pstable(spark, monkeypatch):
