@@ -7,8 +7,8 @@ A path that occurs as often as its edges do branches nowhere. Paths are verified
 words there are hashed anew with 128 bits, and only what occurs twice with equal words is removed. Paths whose edges
 also occur outside of them (they end in branching nodes) are verified edge by edge.
 
-Entries travel in compressed blocks, by ranges of the edge hash and then by document, so a window or document that
-occurs everywhere is spread like any other. Words are runs without ASCII white space, unchanged. Rows are told apart
+Entries travel in compressed blocks, by ranges of the edge hash and then by document, so copies of a document are
+spread over all ranges; the entries of one window meet in one task. Words are runs without ASCII white space, unchanged. Rows are told apart
 by id and text; repeated rows repeat each other's windows. Null texts have no words; rows without an id take part.
 Extra columns are ignored; an empty table gives an empty one.
 """

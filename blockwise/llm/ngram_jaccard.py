@@ -13,8 +13,8 @@ propose their pairs; sets of longer lists that hang together form a cluster, whi
 verified on the whole token sets (tokens of one set only cannot be shared, so tokens of two sets or more and
 the set sizes decide), with integers.
 
-Tokens travel in compressed blocks by ranges of their 64-bit hash, then by class: a token that occurs everywhere is
-spread like any other. Null texts have no words; sets without tokens link with nothing; rows without an id are
+Tokens travel in compressed blocks by ranges of their 64-bit hash, then by class; equal sets of a block travel once,
+and the entries of one token meet in one task. Null texts have no words; sets without tokens link with nothing; rows without an id are
 returned with neither links nor component; rows that share an id are one node. Extra columns are ignored; an empty
 table gives an empty one.
 """
