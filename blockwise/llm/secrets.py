@@ -2,8 +2,9 @@
 
 Labelled credentials become a prefix-tree acceptor per format; statistically compatible states are merged
 (ALERGIA: Hoeffding bound on the outgoing frequencies, red-blue order), which leaves one probabilistic automaton
-per format. Every candidate (long run of credential characters) is scored by the log-likelihood ratio of its best
-format against a background model of ordinary tokens, and spans above the threshold are reported under ``grammar``.
+per format. Every candidate (run of 16 credential characters or more with a digit among them, of any length) is
+scored by the log-likelihood ratio of its best format against a background model of ordinary tokens, and spans above
+the threshold are reported under ``grammar``.
 Three plain formats (``assign``, ``access``, ``hex``) are always reported; the automata add spans, never remove.
 
 Cases: null or empty texts give no spans; repeated rows give repeated results; an empty table gives an empty one;
@@ -204,7 +205,7 @@ def scan_text(text: str, fitted, threshold: float) -> list[tuple[str, int, int,
         out += [("hex", at + m.start(), at + m.end(), "", 0.0) for m in HEX.finditer(token) if len(m[0]) >= 16]
         core = token.strip("=.-_/+")
         for part in (core, *core.split("=")[1:]):
-            if 16 <= len(part) <= 512 and not part.isdigit() and any(c.isdigit() for c in part):
+            if len(part) >= 16 and not part.isdigit() and any(c.isdigit() for c in part):
                 name, s = score(part, fitted)
                 if s >= threshold:
                     start = at + token.rindex(part)
