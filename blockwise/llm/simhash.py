@@ -1,9 +1,9 @@
 """Document fingerprints by SimHash.
 
 Terms (words, and pairs of neighbouring words) are hashed to ``bits`` signed votes, weighted and summed; the signs are
-the fingerprint. ``within_radius`` finds all pairs of distinct fingerprints within a Hamming radius through permuted
-block tables: the bits are cut into ``radius + spare`` blocks, any pair within the radius agrees on ``spare`` blocks, and
-there is one table for each choice of ``spare`` blocks.
+the fingerprint. ``within_radius`` finds all pairs of distinct fingerprints within a Hamming radius through block tables:
+the bits are cut into more than ``radius / 2`` blocks, so any pair within the radius agrees on one of them but for at
+most one bit, and there is one table for each block. None is missed; what is compared grows with the square of the rows.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Null or empty texts have the all-zero fingerprint;
 equal texts have equal ones. Extra columns are ignored; an empty table gives an empty one.
@@ -12,7 +12,6 @@ equal texts have equal ones. Extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,10 @@ from .common import id_text, materialize, mix, partitions, word_hashes
 
 BITS = 256
 WORD_WEIGHT, PAIR_WEIGHT = 0.25, 1.0
+#: Of the pairs of sf0.1 with a five-word Jaccard similarity of 0.8 or more, the farthest lie 33 bits apart.
+RADIUS = 33
+#: Fingerprints of a tile: at least where there are fewer than eight tiles, and at most.
+SPLIT, TILE = 8192, 2**18
 
 
 def fingerprint(text: str, bits: int = BITS) -> bytes:
@@ -127,92 +130,110 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return with_next(docs, visit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", id_col, text_col)
 
 
-def _block_tables(prints: DataFrame, radius: int, spare: int, bits: int, emit, schema: str) -> DataFrame:
-    """``emit(fingerprints, x, y, distances)`` of all pairs (x, y) of distinct fingerprints (hex) that differ in at most
-    ``radius`` bits, once each, as rows of ``schema``.
+def _runs(start: np.ndarray, size: np.ndarray):
+    """(left, right) of about a million pairs at a time: each i with start[i] and the size[i] - 1 numbers behind it."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2**20, "right")))
+        n = size[at:end]
+        yield np.repeat(np.arange(at, end), n), np.arange(n.sum()) + np.repeat(start[at:end] - (np.cumsum(n) - n), n)
+        at = end
 
-    Of ``radius + spare`` blocks at least ``spare`` agree, so the pair meets in the table of those blocks; it is
-    reported from the first table in which it meets. A key shared by more than ``SPLIT`` fingerprints is cut into
-    tiles, and pairs of tiles are compared apart, so a hot key is no single task."""
-    blocks = radius + spare
+
+def _near(v: np.ndarray, w: np.ndarray | None, radius: int, bits: int):
+    """(x, y, distance) arrays of all pairs within the radius of a row of ``v`` and one of ``w``, or of two rows x < y of
+    ``v`` where ``w`` is None, once each. Rows are distinct fingerprints of bits/8 bytes.
+
+    Of ``blocks`` blocks one differs in at most radius // blocks bits, here at most one: each block is a table, in which
+    a row meets the rows of its own key and of the keys one bit away. A pair counts in the first table it meets in."""
+    blocks = max(radius // 2 + 1, bits // 16)  # of 16 bits at most, so tables are addressed directly
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), spare))
-    classes = prints.where("fingerprint is not null").select(F.unhex("fingerprint").alias("f")).distinct()
-
-    def bytes_of(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, bits // 8)
-
-    def cut(v: np.ndarray) -> np.ndarray:
-        """A number for each block of each fingerprint."""
-        word, out = np.unpackbits(v, axis=1), np.zeros((len(v), blocks), np.uint64)
-        for n, (a, z) in enumerate(zip(edges, edges[1:])):
-            for lo in range(a, z, 64):  # blocks of over 64 bits are folded
-                part = word[:, lo : min(z, lo + 64)].astype(np.uint64)
-                out[:, n] = mix(out[:, n]) + (part << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
-
-    def keys(batches):
+    sides = [v] if w is None else [v, w]
+    wide = [x.view(np.uint64) for x in sides]
+    keys = [np.stack([np.unpackbits(x, axis=1)[:, a:z].astype(np.uint16) @ (1 << np.arange(z - a)).astype(np.uint16) for a, z in zip(edges, edges[1:])]) for x in sides]
+    for t, (a, z) in enumerate(zip(edges, edges[1:])):
+        order = [np.argsort(k[t], kind="stable") for k in keys]
+        left, right = order[0], order[-1]
+        key, counts = keys[0][t][left].astype(np.int64), np.bincount(keys[-1][t], minlength=2 ** (z - a))
+        begin = np.cumsum(counts) - counts
+        words = [np.ascontiguousarray(wide[n][o].T) for n, o in ((0, left), (-1, right))]
+        for flip in (0, *(1 << b for b in range(z - a))):
+            start, size = begin[key ^ flip], counts[key ^ flip]
+            if w is None and not flip:  # the rest of the own key
+                start, size = np.arange(len(key)) + 1, start + size - np.arange(len(key)) - 1
+            elif w is None:
+                size = np.where(key & flip, 0, size)
+            for i, j in _runs(start, size):
+                far = np.zeros(len(i), np.int64)
+                for c in range(len(words[0])):
+                    far += np.bitwise_count(words[0][c][i] ^ words[1][c][j])
+                    if c % 2:
+                        i, j, far = (x[far <= radius] for x in (i, j, far))
+                i, j, far = (x[far <= radius] for x in (i, j, far))
+                x, y = left[i], right[j]
+                for e in range(t):  # met before
+                    new = np.bitwise_count(keys[0][e][x] ^ keys[-1][e][y]) > 1
+                    x, y, far = x[new], y[new], far[new]
+                if len(x):
+                    yield (np.minimum(x, y), np.maximum(x, y), far) if w is None else (x, y, far)
+
+
+def _block_tables(prints: DataFrame, radius: int, bits: int, emit, schema: str) -> DataFrame:
+    """Rows of ``schema`` that ``emit(left, right, pairs)`` makes of the pairs of distinct fingerprints (hex) that differ in
+    at most ``radius`` bits, each pair once: bytes of fingerprints, and (x, y, distance) arrays that number them.
+
+    Fingerprints are dealt by hash into tiles, and a task runs the tables of one pair of tiles: tasks are of one size
+    whatever keys are hot, and what is shuffled is each fingerprint once per tile."""
+    classes = materialize(lambda: prints.where("fingerprint is not null").select(F.unhex("fingerprint").alias("f")).distinct(), "distinct")
+    n, size = classes.count(), bits // 8
+    tiles = max(1, -(-n // TILE), min(8, -(-n // SPLIT)))
+
+    def deal(batches):
         for b in batches:
-            numbers = cut(bytes_of(b.column(0)))
-            for t, chosen in enumerate(tables):
-                key = np.full(len(numbers), t, np.uint64)
-                for n in chosen:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + numbers[:, n])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64))], ["f", "t", "key"])
-
-    keyed = classes.mapInArrow(keys, "f binary, t int, key long")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1").withColumn("tiles", F.ceil(F.col("m") / SPLIT).cast("int"))
-    cells = keyed.join(sizes, ["t", "key"]).withColumn("tile", F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = cells.select("t", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "f")
+            v = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, size)
+            own = (mix(v.view(np.uint64)[:, 0]) % np.uint64(tiles)).astype(np.int64)
+            parts = [(g, v[own == g].tobytes()) for g in np.unique(own).tolist()]
+            rows = [(min(g, o), max(g, o), g, f) for g, f in parts for o in range(tiles)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["i", "j", "tile", "f"])
 
     def compare(key, table):
-        chosen, i, j = tables[key[0].as_py()], key[2].as_py(), key[3].as_py()
-        v, own = bytes_of(table.column("f")), table.column("tile").to_numpy()
-        numbers, wide = cut(v), v.view(np.uint64)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(left), 128):
-            block = left[at : at + 128]
-            far = sum(np.bitwise_count(wide[block, c][:, None] ^ wide[right, c][None, :]).astype(np.int16) for c in range(wide.shape[1]))
-            ok = far <= radius
-            if i == j:
-                ok &= block[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            same = numbers[block[x]] == numbers[right[y]]
-            first = same[:, list(chosen)].all(axis=1) & (same[:, : chosen[-1] + 1].sum(axis=1) == spare)
-            for c, val in zip(found, (block[x[first]], right[y[first]], far[x[first], y[first]].astype(np.int64))):
-                c.append(val)
-        return emit(table.column("f").to_pylist(), *map(np.concatenate, found))
-
-    return cells.groupBy("t", "key", "i", "j").applyInArrow(compare, schema)
-
-
-def within_radius(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int = BITS) -> DataFrame:
+        i, j = (k.as_py() for k in key)
+        side = lambda g: np.frombuffer(b"".join(f for f, at in zip(table.column("f").to_pylist(), table.column("tile").to_pylist()) if at == g), np.uint8).reshape(-1, size)
+        v, w = side(i), side(j)
+        return emit(v, w, _near(v, None if i == j else w, radius, bits))
+
+    dealt = classes.mapInArrow(deal, "i int, j int, tile int, f binary")
+    return dealt.repartition(max(partitions(prints.sparkSession), tiles * (tiles + 1) // 2), "i", "j").groupBy("i", "j").applyInArrow(compare, schema)
+
+
+def within_radius(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """(a, b, distance) of all pairs a < b of distinct fingerprints (hex, column ``fingerprint``) that differ in at most
     ``radius`` bits. Equal fingerprints count once; their rows are their class."""
 
-    def pairs(f, x, y, far):
-        rows = [(*sorted((f[a].hex(), f[b].hex())), d) for a, b, d in zip(x.tolist(), y.tolist(), far.tolist())]
+    def pairs(v, w, found):
+        rows = [(*sorted((v[a].tobytes().hex(), w[b].tobytes().hex())), d) for x, y, far in found for a, b, d in zip(x.tolist(), y.tolist(), far.tolist())]
         return pa.table({n: pa.array([r[c] for r in rows], t) for c, (n, t) in enumerate((("a", pa.string()), ("b", pa.string()), ("distance", pa.int32())))})
 
-    return _block_tables(prints, radius, spare, bits, pairs, "a string, b string, distance int")
+    return _block_tables(prints, radius, bits, pairs, "a string, b string, distance int")
 
 
-def near_counts(prints: DataFrame, radius: int = 3, spare: int = 2, bits: int = BITS) -> DataFrame:
+def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """(fingerprint, n_near): to how many other distinct fingerprints each one is within the radius, those with none
     left out. Counts alone leave a task, never pairs."""
 
-    def counts(f, x, y, far):
-        n = np.bincount(x, minlength=len(f)) + np.bincount(y, minlength=len(f))
-        at = np.flatnonzero(n)
-        return pa.table({"f": pa.array([f[a] for a in at.tolist()], pa.binary()), "n": pa.array(n[at].astype(np.int64))})
+    def counts(v, w, found):
+        left, right = np.zeros(len(v), np.int64), np.zeros(len(w), np.int64)
+        for x, y, _ in found:
+            left += np.bincount(x, minlength=len(v))
+            right += np.bincount(y, minlength=len(w))
+        at = [(s, n, np.flatnonzero(n)) for s, n in ((v, left), (w, right))]
+        return pa.table({"f": pa.array([s[i].tobytes() for s, _, k in at for i in k.tolist()], pa.binary()), "n": pa.array(np.concatenate([n[k] for _, n, k in at]))})
 
-    found = _block_tables(prints, radius, spare, bits, counts, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n_near"))
+    found = _block_tables(prints, radius, bits, counts, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n_near"))
     return found.select(F.lower(F.hex("f")).alias("fingerprint"), "n_near")
 
 
-def near_report(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def near_report(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``edit_report`` with ``n_near``: how many other distinct fingerprints of the table lie within the radius."""
     report = materialize(lambda: edit_report(docs, id_col, text_col, bits), "fingerprints")
     salted = near_counts(report, radius, bits=bits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # equal texts may be a third of all rows
@@ -221,4 +242,3 @@ def near_report(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_c
 
 
 SALTS = 8
-SPLIT = 8192

@@ -215,6 +215,23 @@ def test_simhash(spark, monkeypatch):
     assert all(r.n_near == sum(r.fingerprint in pair for pair in want) for r in near) and any(r.n_near for r in near)
 
 
+def test_simhash_counts_near_copies(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(0, 120, 2):
+        text = rnd.choices(words, k=200)
+        copy = list(text)
+        for _ in range(rnd.randint(1, 4)):  # each changes five shingles of 196
+            copy[rnd.randrange(len(copy))] = "changed"
+        rows += [(i, " ".join(text)), (i + 1, " ".join(copy))]
+    f = {i: int(simhash.fingerprint(t).hex(), 16) for i, t in rows}
+    want = {i: sum(0 < (f[i] ^ x).bit_count() <= simhash.RADIUS for x in set(f.values())) for i in f}
+    monkeypatch.setattr(simhash, "SPLIT", 16)
+    got = {r.doc_id: r.n_near for r in simhash.near_report(table(spark, rows)).collect()}
+    assert got == want and sum(n >= 1 for n in got.values()) >= 0.95 * len(rows)  # 59 of the 60 copies lie within the radius
+
+
 def test_pstable(spark, monkeypatch):
     monkeypatch.setattr(pstable, "TILE", 16)
     rnd = np.random.default_rng(3)
