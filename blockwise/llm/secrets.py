@@ -2,8 +2,8 @@
 
 Labelled credentials become a prefix-tree acceptor per format; statistically compatible states are merged
 (ALERGIA: Hoeffding bound on the outgoing frequencies, red-blue order), which leaves one probabilistic automaton
-per format. Every candidate (run of 16 credential characters or more with a digit among them, of any length) is
-scored by the log-likelihood ratio of its best format against a background model of ordinary tokens, and spans above
+per format. Every candidate (run of 16 credential characters or more with a digit among them, of any length, and its
+parts at separators and at known starts) is scored by the log-likelihood ratio of its best format against a background model of ordinary tokens, and spans above
 the threshold are reported under ``grammar``.
 Three plain formats (``assign``, ``access``, ``hex``) are always reported; the automata add spans, never remove.
 
@@ -16,8 +16,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -43,6 +45,14 @@ FORMATS = {
     "hex_key": ("", DIGIT + "abcdef", 32, 64),
     "base64_key": ("", UPPER + LOWER + DIGIT + "+/", 40, 44),
 }
+SEPARATORS = "=.-_/+"
+SEPARATOR = re.compile("[=._/+-]")
+#: Literal starts of formats, those formats from there on, and web tokens of one to three parts: an end for each group.
+KNOWN = re.compile("|".join(start for start, *_ in FORMATS.values() if start))
+STARTED = [re.compile(f"{start}(?=([{re.escape(alphabet)}]{{{lo},{hi}}}))") for start, alphabet, lo, hi in FORMATS.values() if start]
+WEB_TOKEN = re.compile(r"eyJ[\w-]{13,}()(?:\.[\w-]+()(?:\.[\w-]+())?)?", re.A)
+LONGEST = max(len(start) + hi for start, _, _, hi in FORMATS.values())
+PLAIN = {name for name, (start, *_) in FORMATS.items() if not start}
 HEAD = 4  # so many first characters stay literal symbols; later ones are read as character classes
 
 
@@ -64,6 +74,9 @@ def labelled_samples(per_format: int, seed: int = 7) -> tuple[dict[str, list[str
     """Labelled credentials by format, and ordinary tokens, made by rule."""
     rnd = random.Random(seed)
     good = {name: [start + "".join(rnd.choices(alphabet, k=rnd.randint(lo, hi))) for _ in range(per_format)] for name, (start, alphabet, lo, hi) in FORMATS.items()}
+    parts = random.Random(seed + 1)
+    segment = lambda lo, hi: "".join(parts.choices(UPPER + LOWER + DIGIT + "_-", k=parts.randint(lo, hi)))
+    good["signed_token"] = [f"eyJ{segment(17, 90)}.eyJ{segment(17, 200)}.{segment(*parts.choice(((43, 43), (86, 86), (342, 342))))}" for _ in range(per_format)]
     syllables = ["th", "er", "on", "an", "re", "ing", "ed", "es", "ou", "ver", "sch", "ció", "ment", "able", "ly"]
     plain = []
     for i in range(per_format * 4):
@@ -148,15 +161,18 @@ class Automaton:
         self.moves = [{a: (new[t], n) for a, (t, n) in self.moves[s].items()} for s in red]
         return self
 
-    def log_likelihood(self, syms: list[str], floor: float = 1e-4) -> float:
-        s, out = 0, 0.0
-        for i, a in enumerate(syms):
-            move = self.moves[s].get(a)
-            if move is None:
-                return -math.inf if i < HEAD else out + (len(syms) - i) * math.log(floor)
-            out += math.log(max(floor, move[1] / self.total[s]))
-            s = move[0]
-        return out + math.log(max(floor, self.final[s] / max(1, self.total[s])))
+    def log_likelihoods(self, syms: list[str], ends: list[int], floor: float = 1e-4) -> list[float]:
+        """Of the first so many symbols, for each of the ascending ``ends``, in one walk."""
+        s, out, at, found = 0, 0.0, 0, []
+        for end in ends:
+            while at < end and (move := self.moves[s].get(syms[at])):
+                out += math.log(max(floor, move[1] / self.total[s]))
+                s, at = move[0], at + 1
+            if at < end:
+                found.append(-math.inf if at < HEAD else out + (end - at) * math.log(floor))
+            else:
+                found.append(out + math.log(max(floor, self.final[s] / max(1, self.total[s]))))
+        return found
 
 
 @lru_cache(maxsize=4)
@@ -178,13 +194,60 @@ def model(per_format: int = 150, alpha: float = 0.05, seed: int = 7) -> tuple[di
     return automata, logs[0], logs[1]
 
 
+def scores(token: str, ends: list[int], fitted) -> list[tuple[str, float]]:
+    """Of the candidate up to each of the ascending ``ends``: the best format, and its log-likelihood ratio against the
+    background per character."""
+    automata, head, rest = fitted
+    syms = symbols(token[: ends[-1]])
+    back = list(accumulate((head if i < HEAD else rest).get(a, (head if i < HEAD else rest)[""]) for i, a in enumerate(syms)))
+    best = [max(zip(found, automata), key=lambda x: x[0]) for found in zip(*(a.log_likelihoods(syms, ends) for a in automata.values()))]
+    return [(name, (b - back[end - 1]) / end) for (b, name), end in zip(best, ends)]
+
+
 def score(token: str, fitted) -> tuple[str, float]:
     """The best format of a candidate, and its log-likelihood ratio against the background per character."""
-    automata, head, rest = fitted
-    syms = symbols(token)
-    back = sum((head if i < HEAD else rest).get(a, (head if i < HEAD else rest)[""]) for i, a in enumerate(syms))
-    name, best = max(((k, a.log_likelihood(syms)) for k, a in automata.items()), key=lambda x: x[1])
-    return name, (best - back) / len(syms)
+    return scores(token, [len(token)], fitted)[0]
+
+
+def credentials(token: str, fitted, threshold: float) -> list[tuple[int, int, str, float]]:
+    """(start, end, format, score) of the credentials of a run, which do not overlap: formats of a literal start come
+    first, by their log-likelihood ratio as a whole, then the longest of the others.
+
+    Candidates start at the run's start, behind a separator or at a format's literal start, and end before a separator
+    or at the run's end; those of a format's literal start also end where its alphabet or greatest length does. They
+    are as long as a labelled credential at most, but for the run, its parts between ``=``, its parts without
+    separators, and web tokens, which have any length."""
+    seps = [m.start() for m in SEPARATOR.finditer(token)]
+    starts, stops = {0, *(i + 1 for i in seps)}, [*seps, len(token)]
+    wanted: dict[int, set[int]] = {}
+    for a in sorted({*starts, *(m.start() for m in KNOWN.finditer(token))}):
+        for z in stops[bisect_right(stops, a) :]:
+            if z - a > LONGEST and (wanted.get(a) or a not in starts):
+                break
+            wanted.setdefault(a, set()).add(z)
+    wanted.setdefault(0, set()).add(len(token))
+    equals = [-1, *(i for i in seps if token[i] == "="), len(token)]
+    for a, z in zip(equals, equals[1:]):
+        wanted.setdefault(a + 1, set()).add(z)
+    free = 0  # behind the run of letters and digits of the last web token: what starts within it is bounded
+    for m in KNOWN.finditer(token):
+        a = m.start()
+        ends = [z for rx in STARTED if (found := rx.match(token, a)) for _, z in found.regs[1:]]
+        if a >= free and (found := WEB_TOKEN.match(token, a)):
+            ends, free = [*ends, *(z for _, z in found.regs[1:] if z > 0)], found.end(1)
+        wanted.setdefault(a, set()).update(ends)
+    found = []
+    for a, ends in wanted.items():
+        digit = next((i for i in range(a, min(max(ends, default=a), len(token))) if token[i] in DIGIT), len(token))
+        ends = sorted(z - a for z in ends if z - a >= 16 and z > digit and token[z - 1] not in SEPARATORS and not token[a:z].isdigit())
+        if ends and token[a] not in SEPARATORS:
+            found += [(name in PLAIN, -n if name in PLAIN else -n * s, a, a + n, name, s) for n, (name, s) in zip(ends, scores(token[a : a + ends[-1]], ends, fitted)) if s >= threshold]
+    used, out = bytearray(len(token)), []
+    for _, _, a, z, name, s in sorted(found):
+        if used.find(1, a, z) < 0:
+            used[a:z] = b"\x01" * (z - a)
+            out.append((a, z, name, s))
+    return out
 
 
 def scan_text(text: str, fitted, threshold: float) -> list[tuple[str, int, int, str, float]]:
@@ -203,14 +266,9 @@ def scan_text(text: str, fitted, threshold: float) -> list[tuple[str, int, int,
         if "AKIA" in token:
             out += [("access", at + m.start(), at + m.end(), "", 0.0) for m in ACCESS.finditer(token) if len(m[0]) >= 18]
         out += [("hex", at + m.start(), at + m.end(), "", 0.0) for m in HEX.finditer(token) if len(m[0]) >= 16]
-        core = token.strip("=.-_/+")
-        for part in (core, *core.split("=")[1:]):
-            if len(part) >= 16 and not part.isdigit() and any(c.isdigit() for c in part):
-                name, s = score(part, fitted)
-                if s >= threshold:
-                    start = at + token.rindex(part)
-                    out.append(("grammar", start, start + len(part), name, s))
-                    break
+        core = token.strip(SEPARATORS)
+        start = at + token.index(core)
+        out += [("grammar", start + a, start + z, name, s) for a, z, name, s in credentials(core, fitted, threshold)]
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
