@@ -159,6 +159,19 @@ def test_sentencepiece(spark):
         assert got[i, lib.decode(ids)].ids == ids and got[i, lib.decode(ids)].n_tokens == len(ids)
 
 
+def test_every_decoding_is_checked(monkeypatch):
+    codec = sentencepiece_bpe.Codec(tokenizer_path(), check=True)
+    right, seen = codec.vocab.decode, []
+
+    def decode(ids):
+        seen.append(ids)
+        return right(ids) + ("x" if len(seen) == 6 else "")
+
+    monkeypatch.setattr(codec.vocab, "decode", decode)
+    with pytest.raises(ValueError, match="decodes"):
+        list(codec.run(["one two three four five six seven eight nine ten"]))
+
+
 def test_licences(spark):
     rows = [(1, "Under the MIT License, and CC-BY-NC!"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licenced under teh GNU General Public License, version 3."), (4, None), (5, "nothing " * 5000), (6, "cc by nc cc by nc"), (6, "under the mit licenses")]
     out = {(r.doc_id, r.n_words): r for r in license_scan.digest(license_scan.find_licences(table(spark, rows))).collect()}
