@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,35 +15,32 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests)
+    gets a temporary one; on a cluster executors would write to their own disks, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="blockwise-"))
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame | Callable[[], DataFrame], tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut, and lost executors cost
-    only the tasks that ran on them. A callable that makes the table leaves no reference to it with the caller, so the
-    shuffle files of what was written go at once: the way for large tables."""
-    large = callable(df)
-    df = df() if large else df
+    only the tasks that ran on them. ``discard`` removes the files."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/blockwise/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    del df
-    if large:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files that nothing refers to any more. The end of a query is still on its
-    way to listeners when its action returns, so the driver's heap is cleared once more a little later."""
-    for pause in (0.0, 0.3, 0.3):
-        time.sleep(pause)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned, once nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

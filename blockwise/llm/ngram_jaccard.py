@@ -1,26 +1,30 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles (tokens). Tokens are ordered by document frequency, rare ones
-first. Two sets that reach the threshold share at least two tokens among the first ``n - ceil(t n) + 2`` of each (the
-prefix extended by one). Rare tokens of the prefix are indexed one by one. Frequent tokens are indexed in pairs: if no
-shared token is rare, two shared frequent ones are. Only where a set is so long that its pairs would be too many
-(``LONG`` tokens) frequent tokens are indexed one by one, by both sides: sets near that length do both.
+first. Two sets that reach the threshold share many tokens, and the first r of them all lie in the first
+``n - ceil(t n) + r`` tokens of each set: its prefix extended to r. Rare tokens of the prefix are indexed one by one.
+Frequent tokens are dealt by hash into m < r classes, and pairs of one class are indexed: r shared tokens without a
+rare one have two in some class, so no link is lost at any length. m grows with the set's size (by powers of two, which
+both sides know), so that classes stay small and a set has a number of pairs in proportion to its tokens.
 
 Equal sets are one class throughout. In the first pass each posting list proposes only its most central member with
 each other one, a number linear in the list; verified links give components. The second pass compares all pairs of a
 list whose members are still in different components, so no link between components is missed: short lists
-propose their pairs; sets of longer lists that hang together form a cluster, which is compared in tiles. Every pair is
-verified on the whole token sets (tokens of one set only cannot be shared, so tokens of two sets or more and
-the set sizes decide), with integers.
+propose their pairs; longer ones are compared in tiles, together with the lists that have the same most central member,
+and tiles whose sizes cannot reach the threshold do not meet. Every pair is verified on the whole token sets (tokens of
+one set only cannot be shared, so tokens of two sets or more and the set sizes decide), with integers.
 
-Tokens travel in compressed blocks by ranges of their 64-bit hash, then by class; equal sets of a block travel once,
-and the entries of one token meet in one task. Null texts have no words; sets without tokens link with nothing; rows without an id are
-returned with neither links nor component; rows that share an id are one node. Extra columns are ignored; an empty
+Frequencies and posting lists are combined as in ``counting``: no task meets all sets of one token or pair of tokens,
+but in short lists. Document frequencies count equal sets of different chunks each; they only order tokens.
+
+Null texts have no words; sets without tokens link with nothing; rows without an id are returned with neither links nor
+component; rows that share an id are one node. Texts of any length are taken whole. Extra columns are ignored; an empty
 table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +32,60 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks_by_size, id_text, materialize, mix, shingle_hashes, trim, word_hashes
+from .common import discard, materialize, mix, shingle_hashes, trim
 from .components import components, forest
-from .packing import deltas, pack, ranges_of, undelta, unpack
+from .counting import RANGED, Words, answers, met, n_ranges, summed, to_ranges, word_chunks
+from .packing import pack, unpack
 
-CHUNK = 5_000_000  # characters that a task holds as words at once
-RANGE_TOKENS = 2_000_000  # tokens a range of hashes shall hold
 RARE = 64  # tokens of more sets than this are frequent
-LONG = 160  # sets of so many tokens index frequent tokens one by one
-
-
-def token_set(text: str, words: int) -> np.ndarray:
-    """Ascending distinct hashes of the shingles of a text; A-Z are lower-cased."""
-    return np.unique(shingle_hashes(word_hashes(text.encode().lower().split()), words))
+LIST = 24  # lists of more sets, of different components, are compared in tiles
+TILE = 128
+BLOCK = 2000  # sets whose signatures are one row
+SALTS = 8
 
 
 def similar(shared, a, b, num: int, den: int):
     return den * shared >= num * (a + b - shared)
 
 
-def prefix_tokens(n: int, alone: int, num: int, den: int) -> int:
-    """Of the tokens that other sets hold too, in order, how many the extended prefix has; ``alone`` come before."""
-    return n - -(-num * n // den) + 2 - alone
+def least_overlap(n: int, num: int, den: int) -> int:
+    """Tokens that a set of n shares with any set it links to, at least."""
+    return -(-num * n // den)
+
+
+def levels(n: int, num: int, den: int) -> range:
+    """Of pairs with a set of n tokens, the powers of two that the larger set's size can have."""
+    return range(n.bit_length() - 1, (n * den // num).bit_length())
+
+
+def classes_at(level: int, num: int, den: int) -> int:
+    """Classes of frequent tokens for pairs whose larger set has 2^level tokens or more; 0 where such a pair may share
+    one token only, so that single tokens are indexed."""
+    surely = least_overlap(1 << level, num, den)
+    return min(max(1, round((den - num) * (1 << level) / den)), surely - 1)
+
+
+def signatures(tokens: np.ndarray, df: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
+    """Distinct index keys of a set of n tokens, of which ``tokens`` occur in two sets or more, ascending by ``df``."""
+    out = []
+    for level in levels(n, num, den):
+        m = classes_at(level, num, den)
+        head = max(0, n - least_overlap(n, num, den) + m + 1 - (n - len(tokens)))
+        often = df[:head] > RARE
+        out.append(tokens[:head][~often])
+        often = tokens[:head][often]
+        if not m:
+            out.append(often)
+            continue
+        dealt = mix(often ^ np.uint64(level)) % np.uint64(m)
+        order = np.lexsort((often, dealt))
+        often, dealt = often[order], dealt[order]
+        for step in range(1, len(often)):
+            i = np.flatnonzero(dealt[step:] == dealt[:-step])
+            if not len(i):
+                break
+            out.append(mix(often[i] ^ mix(often[i + step])))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def _name(tokens: np.ndarray) -> tuple[int, int]:
@@ -57,210 +93,204 @@ def _name(tokens: np.ndarray) -> tuple[int, int]:
     return h >> 64, h & (2**64 - 1)
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+def _signed(x: list[int]) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
 
 
-def token_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, h1, h2): size and 128-bit name of every row's set."""
-
-    def scan(batches):
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                s = token_set(t, words)
-                out.append((len(s), *_name(s)))
-            cols = np.array(out, np.uint64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(_long(cols[:, i]) for i in range(3))], ["id", "n", "h1", "h2"])
-        trim()
+def _sets(chunk: Words, words: int, num: int, den: int):
+    """Of a chunk: each row's set as (size, name), and the distinct sets that may link with another, by name."""
+    rows, sets = [], {}
+    for i in range(len(chunk.sizes)):
+        s = np.unique(shingle_hashes(chunk.row(i), words))
+        name = _name(s)
+        rows.append((len(s), *name))
+        if den * len(s) >= num * (len(s) + 1):
+            sets.setdefault(name, s)
+    return rows, sets
 
-    return id_text(docs, id_col, text_col).mapInArrow(scan, "id long, n long, h1 long, h2 long")
 
+def token_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, h1, h2, weight, tokens) of every row: its set's size and 128-bit name. Of the rows of a chunk with equal
+    sets that may link with another, the one of the smallest id has ``tokens``: those of two sets or more, rare ones
+    first, with their frequencies. ``weight`` is the sum of these by the set's size."""
+    chunks = materialize(word_chunks(docs, True, id_col, text_col), "words")
+    ranges = n_ranges(chunks)
 
-def shared_tokens(docs: DataFrame, words: int, num: int, den: int, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h1, h2, n, weight, tokens) of the sets that may link with another: ``tokens`` packs the tokens of two sets or
-    more, rare ones first, and their frequencies; ``weight`` is their sum by the set's size."""
-    n_ranges, n_groups = max(4, -(-total // RANGE_TOKENS)), max(4, -(-total // (4 * RANGE_TOKENS)))
-
-    def blocks(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in chunks_by_size(texts, CHUNK):
-                sets, names = [], {}
-                for t in texts[lo:hi]:
-                    s = token_set(t, words)
-                    if den * len(s) >= num * (len(s) + 1) and (name := _name(s)) not in names:
-                        names[name] = len(sets)
-                        sets.append(s)
-                if not sets:
-                    continue
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-                order = np.argsort(tokens)
-                tokens, owner = tokens[order], owner[order]
-                h = np.array([*names], np.uint64)
-                n = np.array([len(s) for s in sets], np.uint32)
-                cut = np.searchsorted(ranges_of(tokens, n_ranges), np.arange(n_ranges + 1, dtype=np.uint64))
-                for r in range(n_ranges):
-                    a, z = cut[r], cut[r + 1]
-                    if a < z:
-                        named, own = np.unique(owner[a:z], return_inverse=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(deltas(tokens[a:z]), own.astype(np.uint32), h[named, 0], h[named, 1], n[named])], pa.binary())], ["r", "blob"])
-
-    def frequencies(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, who, h1, h2, n, base = [], [], [], [], [], 0
+    def entries(batches):
         for b in batches:
-            for blob in b.column("blob").to_pylist():
-                d, own, x, y, size = unpack(blob)
-                tokens.append(undelta(d))
-                who.append(own.astype(np.int64) + base)
-                h1.append(x)
-                h2.append(y)
-                n.append(size)
-                base += len(x)
-        tokens, who, h1, h2, n = (np.concatenate(x) for x in (tokens, who, h1, h2, n))
-        _, first, same = np.unique(mix(h1 ^ mix(h2)), return_index=True, return_inverse=True)  # a set of several blocks is one
-        who = same[who]
-        h1, h2, n = h1[first], h2[first], n[first]
-        order = np.lexsort((who, tokens))
-        tokens, who = tokens[order], who[order]
-        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (who[1:] != who[:-1])])
-        tokens, who = tokens[fresh], who[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        size = np.diff(np.append(starts, len(tokens)))
-        df = np.repeat(size, size)
-        take = df > 1
-        tokens, who, df = tokens[take], who[take], df[take]
-        group = (mix(h1 ^ mix(h2)) % np.uint64(n_groups))[who]
-        order = np.argsort(group, kind="stable")
-        tokens, who, df, group = tokens[order], who[order], df[order], group[order]
-        for g in np.unique(group).tolist():
-            a, z = np.searchsorted(group, [np.uint64(g), np.uint64(g + 1)])
-            named, own = np.unique(who[a:z], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([pack(tokens[a:z], df[a:z].astype(np.uint32), own.astype(np.uint32), h1[named], h2[named], n[named])], pa.binary())], ["g", "blob"])
+            for g, blob in zip(b.column("g").to_pylist(), b.column("blob").to_pylist()):
+                _, sets = _sets(Words(blob), words, num, den)
+                if sets:
+                    keys, often = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+                    yield from to_ranges(g, keys, [often.astype(np.uint32)], ranges)
         trim()
 
-    def sets_again(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[] for _ in range(5)]
+    def shaped(g, blob, found):
+        chunk = Words(blob)
+        rows, sets = _sets(chunk, words, num, den)
+        keys, place = np.unique(np.concatenate([*sets.values()]), return_inverse=True) if sets else (np.zeros(0, np.uint64), [])
+        df = np.ones(len(keys), np.uint64)
+        if found[0]:
+            df[found[0][0]] = found[0][1]
+        packed, at = {}, 0
+        for name, s in sets.items():
+            own = df[place[at : at + len(s)]]
+            at += len(s)
+            tokens, own = s[own > 1], own[own > 1]
+            if len(tokens) >= least_overlap(len(s), num, den):
+                order = np.lexsort((tokens, own))
+                packed[name] = float(own.sum() / len(s)), pack(tokens[order], own[order])
+        first: dict = {}
+        for i, row in enumerate(rows):
+            if chunk.known[i] and row[1:] in packed and (row[1:] not in first or chunk.ids[i] < chunk.ids[first[row[1:]]]):
+                first[row[1:]] = i
+        mine = [packed[row[1:]] if first.get(row[1:]) == i else (None, None) for i, row in enumerate(rows)]
+        n, h1, h2 = (_signed([r[c] for r in rows]) for c in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.ids, mask=~chunk.known), *map(pa.array, (n, h1, h2)), pa.array([m[0] for m in mine], pa.float64()), pa.array([m[1] for m in mine], pa.binary())], ["id", "n", "h1", "h2", "weight", "tokens"])
+
+    df = materialize(answers(chunks.select("g", "blob").mapInArrow(entries, RANGED), summed), "frequencies")
+    out = materialize(met(chunks, df, run=shaped, schema="id long, n long, h1 long, h2 long, weight double, tokens binary"), "sets")
+    discard(chunks, df)
+    return out
+
+
+def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, n_words, blob) of (id, n, weight, component, tokens): the signatures of some sets as one row. ``g`` is drawn
+    at random, so the result must be written before it is used twice."""
+    import secrets
+
+    def run(batches):
         for b in batches:
-            for blob in b.column("blob").to_pylist():
-                t, d, own, x, y, size = unpack(blob)
-                for c, v in zip(cols, (t, d, x[own], y[own], size[own])):
-                    c.append(v)
-        tokens, df, h1, h2, n = (np.concatenate(c) for c in cols)
-        order = np.lexsort((tokens, df, h2, h1))
-        tokens, df, h1, h2, n = tokens[order], df[order], h1[order], h2[order], n[order].astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
-        out = []
-        for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(tokens)]):
-            size = int(n[a])
-            if prefix_tokens(size, size - (z - a), num, den) >= 2:
-                out.append((h1[a], h2[a], size, float(df[a:z].sum() / size), pack(tokens[a:z], df[a:z])))
-        trim()
-        yield pa.RecordBatch.from_arrays([_long(np.array([o[0] for o in out], np.uint64)), _long(np.array([o[1] for o in out], np.uint64)), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.binary())], ["h1", "h2", "n", "weight", "tokens"])
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                ids, n, weight, comp = (part.column(c).to_numpy() for c in range(4))
+                found = [signatures(*unpack(t), int(k), num, den) for t, k in zip(part.column(4).to_pylist(), n)]
+                size = np.array([len(s) for s in found], np.uint32)
+                blob = pack(np.concatenate(found), size, *(np.ascontiguousarray(c).view(np.uint64) for c in (ids, n, weight, comp)))
+                yield pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([blob], pa.binary())], ["g", "n_words", "blob"])
 
-    ranged = id_text(docs, id_col, text_col).select("text").mapInArrow(blocks, "r int, blob binary").groupBy("r").applyInArrow(frequencies, "g long, blob binary")
-    return ranged.groupBy("g").applyInArrow(sets_again, "h1 long, h2 long, n long, weight double, tokens binary")
+    return sets.select("id", "n", "weight", "component", "tokens").mapInArrow(run, "g long, n_words long, blob binary")
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
-    """Index keys of one set: rare prefix tokens, and pairs of frequent ones or, for long sets, frequent ones."""
-    p = prefix_tokens(n, n - len(tokens), num, den)
-    head, often = tokens[:p], df[:p] > RARE
-    out, often = [head[~often]], head[often]
-    if num * n < den * LONG:  # below LONG / t: a partner may be shorter than LONG
-        i, j = np.triu_indices(len(often), 1)
-        low, high = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
-        out.append(mix(low ^ mix(high)))
-    if den * n >= num * LONG:
-        out.append(often)
-    return np.concatenate(out)
-
-
-def proposals(sets: DataFrame, num: int, den: int, n_ranges: int, across: bool) -> DataFrame:
-    """(a, b) distinct pairs of ids that share a signature. ``across``: all pairs of different components of a
-    list; else the most central set of a list with each other one. Lengths must allow the threshold."""
-
-    def blocks(batches):
-        for b in batches:
-            ids, n, weight, comp, blobs = (c.to_pylist() if i == 4 else c.to_numpy() for i, c in enumerate(b.columns))
-            sig, own = [], []
-            for i, blob in enumerate(blobs):
-                s = signatures(*unpack(blob), int(n[i]), num, den)
-                sig.append(s)
-                own.append(np.full(len(s), i))
-            if not sig:
-                continue
-            sig, own = np.concatenate(sig), np.concatenate(own)
-            order = np.argsort(sig)
-            sig, own = sig[order], own[order]
-            cut = np.searchsorted(ranges_of(sig, n_ranges), np.arange(n_ranges + 1, dtype=np.uint64))
-            for r in range(n_ranges):
-                a, z = cut[r], cut[r + 1]
-                if a < z:
-                    named, at = np.unique(own[a:z], return_inverse=True)
-                    cols = (ids[named].view(np.uint64), n[named].view(np.uint64), np.ascontiguousarray(weight[named]).view(np.uint64), comp[named].view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(deltas(sig[a:z]), at.astype(np.uint32), *cols)], pa.binary())], ["r", "blob"])
-
-    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[] for _ in range(5)]
-        for b in batches:
-            for blob in b.column("blob").to_pylist():
-                d, at, *table = unpack(blob)
-                for c, v in zip(cols, (undelta(d), *(x[at] for x in table))):
-                    c.append(v)
-        sig, ids, n, weight, comp = (np.concatenate(c) for c in cols)
+class _Lists:
+    """The posting lists of a block: entries by signature, the most central set (``weight``, then smallest id) first."""
+
+    def __init__(self, blob: bytes) -> None:
+        sig, size, ids, n, weight, comp = unpack(blob)
+        own = np.repeat(np.arange(len(size)), size)
         ids, n, weight, comp = ids.view(np.int64), n.view(np.int64), weight.view(np.float64), comp.view(np.int64)
-        order = np.lexsort((ids, -weight, sig))
-        sig, ids, n, comp = sig[order], ids[order], n[order], comp[order]
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(begin, len(sig)))
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, -weight))] = np.arange(len(ids))
+        order = np.lexsort((rank[own], sig))
+        self.sig, own = sig[order], own[order]
+        self.ids, self.n, self.comp, self.weight = ids[own], n[own], comp[own], weight[own]
+        self.first = np.flatnonzero(np.concatenate([[True], self.sig[1:] != self.sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.first, len(sig)))
+
+    def says(self) -> list[np.ndarray]:
+        """Of each list: its length, its components' range, and its most central set."""
+        low, high = (f.reduceat(self.comp, self.first) for f in (np.minimum, np.maximum))
+        return [self.size.astype(np.uint64), *(np.ascontiguousarray(x).view(np.uint64) for x in (low, high, self.weight[self.first], self.ids[self.first], self.n[self.first]))]
+
+
+def _lists(starts: np.ndarray, values: list[np.ndarray]):
+    """Lists of different components: their lengths, most central sets and these sets' sizes."""
+    count, low, high, weight, lead, n = values
+    total = np.add.reduceat(count, starts)
+    mixed = np.minimum.reduceat(low.view(np.int64), starts) != np.maximum.reduceat(high.view(np.int64), starts)
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(count))))
+    best = np.lexsort((lead.view(np.int64), -weight.view(np.float64), which))[starts]
+    return mixed, [total, lead[best], n[best]]
+
+
+def candidates(signed: DataFrame, num: int, den: int, across: bool) -> DataFrame:
+    """(a, b, hot) of the blocks ``signed``. Not ``across``: the most central set of each list with each other one. Else,
+    of lists with different components: all their pairs in short ones, and (most central set, member) in hot ones."""
+    ranges = n_ranges(signed)
+
+    def entries(batches):
+        for b in batches:
+            for g, blob in zip(b.column("g").to_pylist(), b.column("blob").to_pylist()):
+                lists = _Lists(blob)
+                if len(lists.first):
+                    yield from to_ranges(g, lists.sig[lists.first], lists.says(), ranges)
+
+    def told(g, blob, found):
+        if not found[0]:
+            return
+        lists, (at, total, lead, n) = _Lists(blob), found[0]
+        size = lists.size[at]
+        row = np.repeat(lists.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total, lead, n = (np.repeat(x, size) for x in (total, lead.view(np.int64), n.view(np.int64)))
         if not across:
-            lead = np.repeat(begin, size)
-            x, y = lead, np.arange(len(sig))
-            yield from _pairs(ids[x], ids[y], n[x], n[y])
+            yield _pairs(lead, lists.ids[row], n, lists.n[row], num, den)
             return
-        low, high = np.minimum.reduceat(comp, begin), np.maximum.reduceat(comp, begin)
-        mixed = low != high
-        hot = np.repeat(mixed & (size > LIST), size)
-        yield from _pairs(ids[np.repeat(begin, size)[hot]], ids[hot], None, None, True)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, m in zip(begin[mixed & (size <= LIST)].tolist(), size[mixed & (size <= LIST)].tolist()):
-            i, j = np.triu_indices(m, 1)
-            apart = comp[a + i] != comp[a + j]
-            held.append((a + i[apart], a + j[apart]))
-            if len(held) >= 4096:
-                x, y = (np.concatenate(h) for h in zip(*held))
-                yield from _pairs(ids[x], ids[y], n[x], n[y])
-                held = []
-        if held:
-            x, y = (np.concatenate(h) for h in zip(*held))
-            yield from _pairs(ids[x], ids[y], n[x], n[y])
-
-    def _pairs(a, b, na, nb, hot=False):
-        ok = a != b if hot else (a != b) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
-        a, b = a[ok], b[ok]
-        x, y = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x[fresh], pa.int64()), pa.array(y[fresh], pa.int64()), pa.array(np.full(int(fresh.sum()), hot))], ["a", "b", "hot"])
-
-    spread = sets.select("id", "n", "weight", "component", "tokens").mapInArrow(blocks, "r int, blob binary")
-    return spread.groupBy("r").applyInArrow(pairs, "a long, b long, hot boolean").distinct()
-
-
-def cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) forests of the links between sets of different components within each cluster (id, cluster). Clusters are
-    cut into tiles of ``TILE`` sets, and every pair of tiles is a task of its own: overlaps are a product of
-    incidence matrices, and no pair leaves the task but a spanning forest of links."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    cells = clusters.join(sets, "id").join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = cells.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "n", "component", "tokens")
+        hot = total > LIST
+        yield _distinct(lead[hot], lists.ids[row[hot]], True)
+        row = row[~hot]
+        yield from to_members(lists.sig[row], lists.ids[row], lists.n[row], lists.comp[row])
+
+    def to_members(sig, ids, n, comp):
+        """Entries of short lists travel on to meet; the first three columns carry a range and its entries."""
+        at = mix(sig) % np.uint64(ranges)
+        for r in np.unique(at).tolist():
+            own = at == r
+            blob = pack(sig[own], *(np.ascontiguousarray(x[own]).view(np.uint64) for x in (ids, n, comp)))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.bool_()), pa.array([blob], pa.binary())], ["a", "b", "hot", "blob"])
+
+    def short(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, ids, n, comp = (np.concatenate(c) for c in zip(*[unpack(x) for b in batches for x in b.column("blob").to_pylist()]))
+        order = np.argsort(sig, kind="stable")
+        sig, ids, n, comp = sig[order], ids[order].view(np.int64), n[order].view(np.int64), comp[order]
+        held = []
+        for step in range(1, LIST):  # entries that stand so far apart in a list
+            i = np.flatnonzero(sig[step:] == sig[:-step])
+            if not len(i):
+                break
+            i = i[comp[i] != comp[i + step]]
+            held.append((i, i + step))
+        x, y = (np.concatenate(h) for h in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        yield _pairs(ids[x], ids[y], n[x], n[y], num, den).drop_columns(["blob"])
+
+    lists = answers(signed.select("g", "blob").mapInArrow(entries, RANGED), _lists)
+    found = met(signed, lists, run=told, schema="a long, b long, hot boolean, blob binary")
+    if not across:
+        return found.select("a", "b").distinct()
+    found = materialize(found, "lists")
+    few = found.where("hot is null").select("a", "blob").groupBy("a").applyInArrow(short, "a long, b long, hot boolean")
+    return few.unionAll(found.where("hot").select("a", "b", "hot")).distinct()
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    m = int(fresh.sum())
+    return pa.RecordBatch.from_arrays([pa.array(a[fresh], pa.int64()), pa.array(b[fresh], pa.int64()), pa.array(np.full(m, hot)), pa.nulls(m, pa.binary())], ["a", "b", "hot", "blob"])
+
+
+def _pairs(a, b, na, nb, num: int, den: int) -> pa.RecordBatch:
+    ok = (a != b) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+    return _distinct(np.minimum(a, b)[ok], np.maximum(a, b)[ok], False)
+
+
+def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) forests of the links between sets of different components within each ``cluster`` of (cluster, id). Sets
+    fall into size classes of which only neighbouring ones can link, and classes into tiles of about ``TILE`` sets. Every
+    pair of tiles is a task of its own: overlaps are a product of incidence matrices, and no pair leaves the
+    task but a spanning forest of links."""
+    step = math.log(den / num) * (1 + 1e-9)
+    sized = members.join(sets.select("id", "n"), "id").withColumn("s", F.floor(F.log("n") / step).cast("int"))
+    tiles = sized.groupBy("cluster", "s").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = sized.join(tiles, ["cluster", "s"]).withColumn("u", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("cluster", "id", "s", "u")
+    other = tiles.select("cluster", F.col("s").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u2"))
+    near = own.withColumn("s2", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))).join(other, ["cluster", "s2"])
+    here, there = F.struct("s", "u"), F.struct(F.col("s2").alias("s"), F.col("u2").alias("u"))
+    cells = near.select("cluster", F.least(here, there).alias("i"), F.greatest(here, there).alias("j"), "id").join(sets.select("id", "n", "component", "tokens"), "id")
 
     def compare(key, table):
-        ids, n, comp, tile = (table.column(c).to_numpy() for c in ("id", "n", "component", "tile"))
-        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, n, comp = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+        found = [np.zeros(0, np.int64)] * 2
         if len(ids) and comp.min() != comp.max():
             sets = [unpack(t)[0] for t in table.column("tokens").to_pylist()]
             size = np.array(list(map(len, sets)))
@@ -276,11 +306,10 @@ def cluster_links(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> D
                 shared += part @ part.T
             x, y = np.nonzero(np.triu(similar(shared.astype(np.int64), n[:, None], n[None, :], num, den) & (comp[:, None] != comp[None, :]), 1))
             if len(x):
-                found = ([v] for v in forest(ids[x], ids[y]))
-        a, b = (np.concatenate(v) for v in found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                found = forest(ids[x], ids[y])
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return cells.select("cluster", "i.s", "i.u", F.col("j.s").alias("s2"), F.col("j.u").alias("u2"), "id", "n", "component", "tokens").groupBy("cluster", "s", "u", "s2", "u2").applyInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -288,10 +317,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def check(batches):
         for b in batches:
-            a_last, mine, out = None, None, []
-            for a, na, nb, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "na", "nb", "ta", "tb"))):
-                if a != a_last:
-                    a_last, mine = a, np.sort(unpack(x)[0])
+            last, mine, out = None, None, []
+            for na, nb, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "ta", "tb"))):
+                if x != last:
+                    last, mine = x, np.sort(unpack(x)[0])
                 other = unpack(y)[0]
                 at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
                 out.append(bool(similar(int((mine[at] == other).sum()), na, nb, num, den)))
@@ -305,22 +334,24 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the component under links of Jaccard similarity num/den or more."""
-    names = materialize(token_sets(docs, words, id_col, text_col), "sets")
-    total = names.agg(F.sum("n")).first()[0] or 0
+    rows = token_sets(docs, words, num, den, id_col, text_col)
+    names = rows.select("id", "n", "h1", "h2")
     classes = names.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    sets = materialize(lambda: shared_tokens(docs, words, num, den, total, id_col, text_col).join(classes, ["h1", "h2"]).select("id", "n", "weight", "tokens"), "tokens")
-    n_ranges = max(4, -(-total // (8 * RANGE_TOKENS)))
-    single = sets.withColumn("component", F.col("id"))
-    tried = materialize(lambda: verified(proposals(single, num, den, n_ranges, False), sets, num, den), "links")
+    sets = materialize(rows.where("tokens is not null").join(classes, ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"]).select("id", "n", "weight", "tokens"), "tokens")
+    signed = materialize(blocks(sets.withColumn("component", F.col("id")), num, den), "signatures")
+    tried = materialize(verified(candidates(signed, num, den, False), sets, num, den), "links")
+    discard(signed)
     first = components(tried.where("linked").select("a", "b"))
-    labelled = materialize(lambda: sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    rest = materialize(lambda: proposals(labelled, num, den, n_ranges, True), "rest")
+    labelled = materialize(sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    signed = materialize(blocks(labelled, num, den), "signatures")
+    rest = materialize(candidates(signed, num, den, True), "rest")
     few = rest.where("not hot").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    more = verified(few, sets, num, den).where("linked").select("a", "b")
+    more = verified(few, labelled, num, den).where("linked").select("a", "b")
     if not (hot := rest.where("hot")).isEmpty():
-        more = more.union(cluster_links(components(hot.select("a", "b")).withColumnRenamed("component", "cluster"), labelled, num, den))
+        more = more.unionAll(tile_links(hot.select(F.col("a").alias("cluster"), F.col("b").alias("id")), labelled, num, den))
     more = materialize(more, "links")
-    every = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    discard(signed, labelled, rest, sets, tried)
+    every = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)
     found = first if more.isEmpty() else components(every)
     by_class = classes.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     salted = by_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # equal sets may be a third of all rows
@@ -334,8 +365,3 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     gone = jaccard_components(docs, words, num, den).where("doc_id <> component_id").select("doc_id").distinct()
     gone = materialize(gone, "gone")
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-
-
-SALTS = 8
-LIST = 24  # lists of more sets, of different components, are compared as clusters
-TILE = 256

@@ -184,7 +184,7 @@ def _block_tables(prints: DataFrame, radius: int, bits: int, emit, schema: str)
 
     Fingerprints are dealt by hash into tiles, and a task runs the tables of one pair of tiles: tasks are of one size
     whatever keys are hot, and what is shuffled is each fingerprint once per tile."""
-    classes = materialize(lambda: prints.where("fingerprint is not null").select(F.unhex("fingerprint").alias("f")).distinct(), "distinct")
+    classes = materialize(prints.where("fingerprint is not null").select(F.unhex("fingerprint").alias("f")).distinct(), "distinct")
     n, size = classes.count(), bits // 8
     tiles = max(1, -(-n // TILE), min(8, -(-n // SPLIT)))
 
@@ -235,7 +235,7 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> Da
 
 def near_report(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``edit_report`` with ``n_near``: how many other distinct fingerprints of the table lie within the radius."""
-    report = materialize(lambda: edit_report(docs, id_col, text_col, bits), "fingerprints")
+    report = materialize(edit_report(docs, id_col, text_col, bits), "fingerprints")
     salted = near_counts(report, radius, bits=bits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # equal texts may be a third of all rows
     joined = report.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fingerprint", "salt"], "left")
     return joined.select(*report.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

@@ -66,6 +66,55 @@ def test_jaccard(spark, monkeypatch, words, num, rare, some):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_jaccard_of_long_sets(spark, monkeypatch):
+    """Sets of 200 to 5,000 tokens, all frequent, so that only pairs of one class can find the links."""
+    monkeypatch.setattr(ngram_jaccard, "RARE", 1)
+    rnd = random.Random(12)
+    words, rows = [f"w{i}" for i in range(40_000)], []
+    for size in (200, 350, 700, 1500, 2600, 5000):
+        base = rnd.choices(words, k=size)
+        for edits in (0, 1, 2, size // 60, size // 40, size // 30, size // 25, size // 20):
+            text = list(base)
+            for at in rnd.sample(range(size), edits):
+                text[at] = rnd.choice(words)
+            cut = rnd.choice([0, 0, size // 30])
+            rows.append((len(rows), " ".join(text[: size - cut])))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert 6 < len(set(label)) < len(sets)
+    for some in (24, 1):
+        monkeypatch.setattr(ngram_jaccard, "LIST", some)
+        got = ngram_jaccard.jaccard_components(table(spark, rows), 4, 85, 100).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
+@pytest.mark.parametrize("num", [50, 80, 85, 95])
+def test_similar_sets_share_a_signature(num):
+    """Whatever the sizes, pairs at the threshold meet, and the keys of a set grow in proportion to its size."""
+    rnd = np.random.default_rng(num)
+    for n in [*range(2, 60), 100, 127, 128, 129, 255, 256, 400, 1023, 1024, 3000]:
+        for most in {n, n * 100 // num}:
+            if 100 * n < num * most or 100 * n < num * (n + 1):
+                continue
+            shared = -(-num * (n + most) // (100 + num))
+            if shared > n:
+                continue
+            tokens = rnd.permutation(np.arange(1, n + most - shared + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            sets = tokens[:n], np.concatenate([tokens[:shared], tokens[n:]])
+            df = {int(t): 100 + int(d) for t, d in zip(tokens, rnd.integers(0, 5, len(tokens)))}
+            keys = []
+            for s in sets:
+                often = np.array([df[int(t)] for t in s])
+                order = np.lexsort((s, often))
+                keys.append(ngram_jaccard.signatures(s[order], often[order], len(s), num, 100))
+            assert len(np.intersect1d(*keys)), (n, most)
+            assert max(map(len, keys)) <= 8 + 4 * len(sets[1])
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     for df in (
