@@ -65,13 +65,13 @@ def classes_at(level: int, num: int, den: int) -> int:
     return min(max(1, round((den - num) * (1 << level) / den)), surely - 1)
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, df: np.ndarray, n: int, num: int, den: int, rare: int = RARE) -> np.ndarray:
     """Distinct index keys of a set of n tokens, of which ``tokens`` occur in two sets or more, ascending by ``df``."""
     out = []
     for level in levels(n, num, den):
         m = classes_at(level, num, den)
         head = max(0, n - least_overlap(n, num, den) + m + 1 - (n - len(tokens)))
-        often = df[:head] > RARE
+        often = df[:head] > rare
         out.append(tokens[:head][~often])
         often = tokens[:head][often]
         if not m:
@@ -154,7 +154,7 @@ def token_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str = "d
     return out
 
 
-def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+def blocks(sets: DataFrame, num: int, den: int, rare: int = RARE) -> DataFrame:
     """(g, n_words, blob) of (id, n, weight, component, tokens): the signatures of some sets as one row. ``g`` is drawn
     at random, so the result must be written before it is used twice."""
     import secrets
@@ -164,7 +164,7 @@ def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
             for lo in range(0, b.num_rows, BLOCK):
                 part = b.slice(lo, BLOCK)
                 ids, n, weight, comp = (part.column(c).to_numpy() for c in range(4))
-                found = [signatures(*unpack(t), int(k), num, den) for t, k in zip(part.column(4).to_pylist(), n)]
+                found = [signatures(*unpack(t), int(k), num, den, rare) for t, k in zip(part.column(4).to_pylist(), n)]
                 size = np.array([len(s) for s in found], np.uint32)
                 blob = pack(np.concatenate(found), size, *(np.ascontiguousarray(c).view(np.uint64) for c in (ids, n, weight, comp)))
                 yield pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([blob], pa.binary())], ["g", "n_words", "blob"])
@@ -203,7 +203,7 @@ def _lists(starts: np.ndarray, values: list[np.ndarray]):
     return mixed, [total, lead[best], n[best]]
 
 
-def candidates(signed: DataFrame, num: int, den: int, across: bool) -> DataFrame:
+def candidates(signed: DataFrame, num: int, den: int, across: bool, short: int = LIST) -> DataFrame:
     """(a, b, hot) of the blocks ``signed``. Not ``across``: the most central set of each list with each other one. Else,
     of lists with different components: all their pairs in short ones, and (most central set, member) in hot ones."""
     ranges = n_ranges(signed)
@@ -225,7 +225,7 @@ def candidates(signed: DataFrame, num: int, den: int, across: bool) -> DataFrame
         if not across:
             yield _pairs(lead, lists.ids[row], n, lists.n[row], num, den)
             return
-        hot = total > LIST
+        hot = total > short
         yield _distinct(lead[hot], lists.ids[row[hot]], True)
         row = row[~hot]
         yield from to_members(lists.sig[row], lists.ids[row], lists.n[row], lists.comp[row])
@@ -238,12 +238,12 @@ def candidates(signed: DataFrame, num: int, den: int, across: bool) -> DataFrame
             blob = pack(sig[own], *(np.ascontiguousarray(x[own]).view(np.uint64) for x in (ids, n, comp)))
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.bool_()), pa.array([blob], pa.binary())], ["a", "b", "hot", "blob"])
 
-    def short(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, ids, n, comp = (np.concatenate(c) for c in zip(*[unpack(x) for b in batches for x in b.column("blob").to_pylist()]))
         order = np.argsort(sig, kind="stable")
         sig, ids, n, comp = sig[order], ids[order].view(np.int64), n[order].view(np.int64), comp[order]
         held = []
-        for step in range(1, LIST):  # entries that stand so far apart in a list
+        for step in range(1, short):  # entries that stand so far apart in a list
             i = np.flatnonzero(sig[step:] == sig[:-step])
             if not len(i):
                 break
@@ -257,7 +257,7 @@ def candidates(signed: DataFrame, num: int, den: int, across: bool) -> DataFrame
     if not across:
         return found.select("a", "b").distinct()
     found = materialize(found, "lists")
-    few = found.where("hot is null").select("a", "blob").groupBy("a").applyInArrow(short, "a long, b long, hot boolean")
+    few = found.where("hot is null").select("a", "blob").groupBy("a").applyInArrow(meet, "a long, b long, hot boolean")
     return few.unionAll(found.where("hot").select("a", "b", "hot")).distinct()
 
 
@@ -332,19 +332,20 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the component under links of Jaccard similarity num/den or more."""
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, short: int = LIST) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the component under links of Jaccard similarity num/den or more. ``rare`` and
+    ``short`` set how tokens and lists are treated, and change no result."""
     rows = token_sets(docs, words, num, den, id_col, text_col)
     names = rows.select("id", "n", "h1", "h2")
     classes = names.where("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"))
     sets = materialize(rows.where("tokens is not null").join(classes, ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"]).select("id", "n", "weight", "tokens"), "tokens")
-    signed = materialize(blocks(sets.withColumn("component", F.col("id")), num, den), "signatures")
+    signed = materialize(blocks(sets.withColumn("component", F.col("id")), num, den, rare), "signatures")
     tried = materialize(verified(candidates(signed, num, den, False), sets, num, den), "links")
     discard(signed)
     first = components(tried.where("linked").select("a", "b"))
     labelled = materialize(sets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    signed = materialize(blocks(labelled, num, den), "signatures")
-    rest = materialize(candidates(signed, num, den, True), "rest")
+    signed = materialize(blocks(labelled, num, den, rare), "signatures")
+    rest = materialize(candidates(signed, num, den, True, short), "rest")
     few = rest.where("not hot").select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(few, labelled, num, den).where("linked").select("a", "b")
     if not (hot := rest.where("hot")).isEmpty():

@@ -49,15 +49,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_paths")
+def op10_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_segments")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_sentencepiece, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_warc_zip, op8_simhash, op9_embedding_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_sentencepiece, op4_ngram_jaccard, op5_license_scan, op6_toxicity, op7_warc_zip, op8_simhash, op9_embedding_neighbours, op10_substring_repeats)}
 
 _COMPONENTS = """reach(id, other) AS (SELECT DISTINCT id, id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.other),
 comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
@@ -74,13 +74,13 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.component_id FROM
     "op7_warc_zip": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
 r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 100 OR f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to FROM r""",
-    "op9_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    "op9_embedding_neighbours": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS z FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id < y.vec_id AND x.z > 0 AND y.z > 0 AND len(x.e) = len(y.e) AND list_inner_product(x.e, y.e) / (x.z * y.z) >= 0.95),
 nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS},
 k AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
 SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN k ON k.id = v.vec_id""",
-    "op10_substring_dedup": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    "op10_substring_repeats": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
 r AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
 c AS (SELECT DISTINCT doc_id, i + j AS at FROM r, (SELECT unnest(range(35)) AS j)),
