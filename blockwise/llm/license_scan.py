@@ -1,15 +1,19 @@
 """Licence scans by fuzzy short-notice search.
 
 Each notice is split by the pigeonhole rule into ``errors + 1`` pieces: any occurrence with at most ``errors`` edits
-holds one piece exactly. Exact seed hits locate candidate windows, and the regex library's bounded-error matching
-verifies the edits in each window and reports the span. Three short base phrases are found exactly, word by word.
+holds one piece exactly. Exact seed hits locate candidate spans, from each word that can begin one to each word that can
+end it, and the regex library's bounded-error matching verifies each of them alone and counts its edits (insertions,
+deletions and substitutions of code points). So every run of whole words within the edits of a notice is found, whatever
+stands beside it. Of runs that overlap, the likeliest stays. Three short base phrases are found exactly, word by word.
 
 Words are lower-cased (A-Z only) runs of ASCII letters, digits and non-ASCII characters. Null texts count as empty;
-repeated rows give repeated results; an empty table gives an empty one; extra columns are ignored.
+texts of any length are taken whole; repeated rows give repeated results; an empty table gives an empty one; extra
+columns are ignored. Of equally likely runs, the one that starts first stays, then the shorter, then by label.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,14 +40,15 @@ NOTICES = (
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-@lru_cache(maxsize=2)
-def compiled(errors: int = 3):
-    """(notice, label, errors, seeds, pattern): short notices get fewer errors, so that every seed keeps 6 letters."""
+@lru_cache(maxsize=8)
+def compiled(notices: tuple[tuple[str, str], ...] = NOTICES, errors: int = 3):
+    """(notice, label, errors, seeds with their offsets, pattern): one edit for each 12 characters, one at least."""
     out = []
-    for text, label in NOTICES:
-        e = min(errors, max(0, len(text) // 10 - 1))
+    for text, label in notices:
+        text = normalise(text)[1].decode()[1:-1]
+        e = min(errors, max(1, len(text) // 12)) if errors else 0
         cuts = [round(i * len(text) / (e + 1)) for i in range(e + 2)]
-        out.append((text, label, e, [text[a:b].encode() for a, b in zip(cuts, cuts[1:])], regex.compile(rb"(?b)(?<!\S)(?:" + regex.escape(text).encode() + rb"){e<=%d}(?!\S)" % e)))
+        out.append((text, label, e, [(text[a:b], a) for a, b in zip(cuts, cuts[1:]) if a < b], regex.compile(f"(?b)(?:{regex.escape(text, special_only=True)}){{e<={e}}}")))
     return out
 
 
@@ -62,35 +67,36 @@ def base_places(norm: bytes) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def fuzzy_spans(norm: bytes, errors: int = 3) -> list[tuple[int, int, str, int, float]]:
-    """(first word, end word, label, edits, likeness) of verified notices."""
-    out = []
-    for text, label, e, seeds, pattern in compiled(errors):
-        windows, offset = [], 0
-        for seed in seeds:
+def occurrences(norm: bytes, notices: tuple[tuple[str, str], ...] = NOTICES, errors: int = 3) -> list[tuple[int, int, str, int, float]]:
+    """(first word, end word, label, edits, likeness) of all runs of words within the edits of a notice."""
+    line, spaces, out = None, [], []
+    for text, label, e, seeds, pattern in compiled(notices, errors):
+        spans = set()
+        for seed, offset in seeds:
+            if seed.encode() not in norm:
+                continue
+            if line is None:
+                line = norm.decode()
+                spaces = [i for i, c in enumerate(line) if c == " "]
             at = -1
-            while (at := norm.find(seed, at + 1)) >= 0:
-                windows.append((max(0, at - offset - 2 * e - 1), min(len(norm), at - offset + len(text) + 2 * e + 1)))
-            offset += len(seed)
-        end = -1
-        merged: list[list[int]] = []
-        for a, b in sorted(set(windows)):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            a = norm.rfind(b" ", 0, a + 1) if a and norm[a : a + 1] != b" " else a
-            b = norm.find(b" ", b - 1) + 1 or len(norm)
-            for m in pattern.finditer(norm, max(a, 0), b):
-                if m.start() >= end and (edits := sum(m.fuzzy_counts)) <= e:
-                    first, end = norm.count(b" ", 0, m.start() + 1) - 1, m.end()
-                    first += norm[m.start() : m.start() + 1] == b" "
-                    out.append((max(first, 0), norm.count(b" ", 0, m.end()), label, edits, 1 - edits / len(text)))
-    kept: list[tuple[int, int, str, int, float]] = []
-    for s in sorted(out, key=lambda s: (-s[4], s)):  # where notices overlap, the likeliest stays
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
+            while (at := line.find(seed, at + 1)) >= 0:
+                start, end = at - offset, at - offset + len(text)
+                begins = spaces[bisect_left(spaces, start - e - 1) : bisect_right(spaces, start + e - 1)]
+                ends = spaces[bisect_left(spaces, end - e) : bisect_right(spaces, end + e)]
+                spans.update((a + 1, z) for a in begins for z in ends if a + 1 < z)
+        for a, z in spans:
+            if (m := pattern.fullmatch(line, a, z)) and (edits := sum(m.fuzzy_counts)) <= e:
+                out.append((bisect_left(spaces, a - 1), bisect_left(spaces, z), label, edits, 1 - edits / len(text)))
+    return sorted(out)
+
+
+def likeliest(found: list[tuple[int, int, str, int, float]]) -> list[tuple[int, int, str, int, float]]:
+    """Of runs that overlap, the likeliest, taken greedily."""
+    used, kept = bytearray(max((f[1] for f in found), default=0)), []
+    for f in sorted(found, key=lambda f: (-f[4], f)):
+        if used.find(1, f[0], f[1]) < 0:
+            used[f[0] : f[1]] = b"\x01" * (f[1] - f[0])
+            kept.append(f)
     return sorted(kept)
 
 
@@ -98,8 +104,8 @@ SCHEMA = "doc_id long, n_words long, base array<struct<word int, label string>>,
 _TYPES = [pa.int64(), pa.int64(), pa.list_(pa.struct([("word", pa.int32()), ("label", pa.string())])), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("edits", pa.int32()), ("likeness", pa.float64())]))]
 
 
-def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 3) -> DataFrame:
-    """Base places and verified notice spans (in words) of every row. One narrow scan."""
+def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 3, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+    """Base places and verified spans (in words) of ``notices`` (text, label) in every row. One narrow scan."""
 
     def scan(batches):
         for b in batches:
@@ -108,7 +114,7 @@ def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, norm = normalise(t)
                 counts.append(n)
                 bases.append([{"word": w, "label": k} for w, k in base_places(norm)])
-                spans.append([dict(zip(("first", "end", "label", "edits", "likeness"), s)) for s in fuzzy_spans(norm, errors)])
+                spans.append([dict(zip(("first", "end", "label", "edits", "likeness"), s)) for s in likeliest(occurrences(norm, notices, errors))])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip((counts, bases, spans), _TYPES[1:]))], ["doc_id", "n_words", "base", "spans"])
 
     return id_text(docs, id_col, text_col).mapInArrow(scan, SCHEMA)

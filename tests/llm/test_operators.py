@@ -255,14 +255,54 @@ def test_licences(spark):
     assert out[6, 6].n_base == 2 and out[6, 6].last_word == 3 and out[6, 4].n_base == 0
 
 
-def test_licence_edits_are_bounded():
+def _distance(a, b, most):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def _runs_near_notices(norm, notices):
+    """All runs of words within the edits of a notice, without seeds."""
+    words, out = norm.decode().split(" ")[1:-1], []
+    for text, label, e, _, _ in license_scan.compiled(notices):
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                run = " ".join(words[i:j])
+                if abs(len(run) - len(text)) <= e and (d := _distance(text, run, e)) <= e:
+                    out.append((i, j, label, d, 1 - d / len(text)))
+    return sorted(out)
+
+
+def test_licences_equal_an_unseeded_search():
     rnd = random.Random(8)
-    for notice, label, e, _, _ in license_scan.compiled():
-        text = list(notice)
-        for at in rnd.sample(range(3, len(text) - 3), e):
-            text[at] = "q"
-        spans = license_scan.fuzzy_spans(f" some words {''.join(text)} and more ".encode())
-        assert any(s[2] == label and s[3] <= e for s in spans), notice
+    mine = license_scan.NOTICES + (("Für alle — freie Nutzung gestattet", "frei"),)
+    seen = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            text = list(rnd.choice(mine)[0].lower())
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(text))
+                text[at : at + rnd.randint(0, 1)] = rnd.choice(["", "q", "é", " ", "e"])
+            parts += ["".join(text), *rnd.choices(["and", "a", "under", "the license", "é"], k=rnd.randint(0, 2))]
+        norm = license_scan.normalise(" ".join(parts))[1]
+        want = _runs_near_notices(norm, mine)
+        assert license_scan.occurrences(norm, mine) == want, norm
+        seen += len(want)
+    assert seen > 100
+
+
+def test_licences_beside_each_other():
+    found = lambda t: [(s[2], s[3]) for s in license_scan.likeliest(license_scan.occurrences(license_scan.normalise(t)[1]))]
+    gpl = "licensed under the gnu generl publc license version 3"
+    assert found(f"{gpl} licensed under cc by nc 4 0") == [("gpl-3", 2), ("cc-by-nc", 0)]
+    assert found("licensed undxr cc by nc 4 0 licensed under cc by nc 4 0 licensed undeer cc by nc 4 0") == [("cc-by-nc", 1), ("cc-by-nc", 0), ("cc-by-nc", 1)]
+    assert found("al rights reserved") == [("proprietary", 1)] and found("") == []
 
 
 def test_toxicity(spark):
