@@ -2,9 +2,10 @@
 
 Labelled credentials become a prefix-tree acceptor per format; statistically compatible states are merged
 (ALERGIA: Hoeffding bound on the outgoing frequencies, red-blue order), which leaves one probabilistic automaton
-per format. Every candidate (run of 16 credential characters or more with a digit among them, of any length, and its
-parts at separators and at known starts) is scored by the log-likelihood ratio of its best format against a background model of ordinary tokens, and spans above
-the threshold are reported under ``grammar``.
+per format. Every candidate (run of ``LEAST`` credential characters or more, of any length, letters or digits alone
+included, and its parts at separators and at known starts) is scored by the log-likelihood ratio of its best format
+against a background model of ordinary tokens, and spans above the threshold are reported under ``grammar``. Callers
+pass labelled credentials and ordinary tokens of their own to ``fit_grammar``; those of ``labelled_samples`` are the default.
 Three plain formats (``assign``, ``access``, ``hex``) are always reported; the automata add spans, never remove.
 
 Cases: null or empty texts give no spans; repeated rows give repeated results; an empty table gives an empty one;
@@ -14,10 +15,12 @@ extra columns are ignored. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
@@ -29,7 +32,7 @@ from .common import id_text, trim
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16  # characters of the shortest candidate, or of the shortest labelled credential if that is less
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 
@@ -47,12 +50,9 @@ FORMATS = {
 }
 SEPARATORS = "=.-_/+"
 SEPARATOR = re.compile("[=._/+-]")
-#: Literal starts of formats, those formats from there on, and web tokens of one to three parts: an end for each group.
-KNOWN = re.compile("|".join(start for start, *_ in FORMATS.values() if start))
-STARTED = [re.compile(f"{start}(?=([{re.escape(alphabet)}]{{{lo},{hi}}}))") for start, alphabet, lo, hi in FORMATS.values() if start]
+#: Web tokens of one to three parts: an end for each group.
 WEB_TOKEN = re.compile(r"eyJ[\w-]{13,}()(?:\.[\w-]+()(?:\.[\w-]+())?)?", re.A)
-LONGEST = max(len(start) + hi for start, _, _, hi in FORMATS.values())
-PLAIN = {name for name, (start, *_) in FORMATS.items() if not start}
+LONGEST = 128  # characters of parts between two separators, at most
 HEAD = 4  # so many first characters stay literal symbols; later ones are read as character classes
 
 
@@ -175,52 +175,90 @@ class Automaton:
         return found
 
 
-@lru_cache(maxsize=4)
-def model(per_format: int = 150, alpha: float = 0.05, seed: int = 7) -> tuple[dict[str, Automaton], dict[str, float], dict[str, float]]:
-    """Automata by format, and the background's log-probabilities of literal and class symbols. ``per_format`` bounds
-    the labelled sample that is fitted."""
-    good, plain = labelled_samples(per_format, seed)
-    automata = {}
-    for name, tokens in good.items():
+@dataclass(frozen=True)
+class Grammar:
+    """Automata by format; the background's log-probabilities of literal and class symbols; and what candidates need:
+    the least length, the literal starts of formats, patterns of those formats, and the formats without a start."""
+
+    automata: dict[str, Automaton]
+    head: dict[str, float]
+    rest: dict[str, float]
+    run: re.Pattern
+    known: re.Pattern | None
+    started: list[re.Pattern]
+    plain: frozenset[str]
+    least: int
+
+
+def _alphabet(chars: str) -> str:
+    """The characters, and those of their kinds: a letter beyond f stands for all of its case."""
+    lower, upper = (set(chars) & set(kind) for kind in (LOWER, UPPER))
+    full = lambda own, kind: kind if own - set(kind[:6]) else kind[:6] if own else ""
+    return full(lower, LOWER) + full(upper, UPPER) + (DIGIT if set(chars) & set(DIGIT) else "") + "".join(sorted(set(chars) - set(LOWER + UPPER + DIGIT)))
+
+
+def fit_grammar(labelled: dict[str, list[str]], ordinary: list[str], alpha: float = 0.05) -> Grammar:
+    """The grammar of labelled credentials (two or more of each format) and of ordinary tokens. Each format's literal
+    start, alphabet and lengths are taken from its credentials."""
+    if any(len(set(tokens)) < 2 for tokens in labelled.values()):
+        raise ValueError("a format needs two different labelled credentials")
+    automata, starts, started = {}, [], []
+    for name, tokens in labelled.items():
         a = Automaton()
         for t in tokens:
             a.add(symbols(t))
         automata[name] = a.fit(alpha)
+        start = os.path.commonprefix(tokens)[:8]
+        if len(start) >= 3:
+            rests = [len(t) - len(start) for t in tokens]
+            starts.append(start)
+            started.append(re.compile(f"{re.escape(start)}(?=([{re.escape(_alphabet(''.join(t[len(start) :] for t in tokens)))}]{{{min(rests)},{max(rests)}}}))"))
     head, rest = Counter(), Counter()
-    for t in plain:
+    for t in ordinary:
         head.update(symbols(t)[:HEAD])
         rest.update(symbols(t)[HEAD:])
     logs = [{c: math.log((n + 1) / (sum(k.values()) + 70)) for c, n in k.items()} | {"": math.log(1 / (sum(k.values()) + 70))} for k in (head, rest)]
-    return automata, logs[0], logs[1]
+    least = min(LEAST, *(len(t) for ts in labelled.values() for t in ts))
+    run = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{least},}}")
+    known = re.compile("|".join(map(re.escape, sorted(set(starts), key=len, reverse=True)))) if starts else None
+    return Grammar(automata, *logs, run, known, started, frozenset(n for n, ts in labelled.items() if len(os.path.commonprefix(ts)) < 3), least)
+
+
+@lru_cache(maxsize=4)
+def model(per_format: int = 150, alpha: float = 0.05, seed: int = 7) -> Grammar:
+    """The grammar of ``labelled_samples``. ``per_format`` bounds the labelled sample that is fitted."""
+    return fit_grammar(*labelled_samples(per_format, seed), alpha)
 
 
-def scores(token: str, ends: list[int], fitted) -> list[tuple[str, float]]:
+def scores(token: str, ends: list[int], fitted: Grammar) -> list[tuple[str, float]]:
     """Of the candidate up to each of the ascending ``ends``: the best format, and its log-likelihood ratio against the
     background per character."""
-    automata, head, rest = fitted
-    syms = symbols(token[: ends[-1]])
-    back = list(accumulate((head if i < HEAD else rest).get(a, (head if i < HEAD else rest)[""]) for i, a in enumerate(syms)))
+    automata, head, rest = fitted.automata, fitted.head, fitted.rest
+    token = token[: ends[-1]]
+    syms = symbols(token)
+    usual = symbols(token.lower()) if token.isalpha() and token.isupper() else syms  # ordinary words also come in capitals
+    back = list(accumulate((head if i < HEAD else rest).get(a, (head if i < HEAD else rest)[""]) for i, a in enumerate(usual)))
     best = [max(zip(found, automata), key=lambda x: x[0]) for found in zip(*(a.log_likelihoods(syms, ends) for a in automata.values()))]
     return [(name, (b - back[end - 1]) / end) for (b, name), end in zip(best, ends)]
 
 
-def score(token: str, fitted) -> tuple[str, float]:
+def score(token: str, fitted: Grammar) -> tuple[str, float]:
     """The best format of a candidate, and its log-likelihood ratio against the background per character."""
     return scores(token, [len(token)], fitted)[0]
 
 
-def credentials(token: str, fitted, threshold: float) -> list[tuple[int, int, str, float]]:
+def credentials(token: str, fitted: Grammar, threshold: float) -> list[tuple[int, int, str, float]]:
     """(start, end, format, score) of the credentials of a run, which do not overlap: formats of a literal start come
     first, by their log-likelihood ratio as a whole, then the longest of the others.
 
     Candidates start at the run's start, behind a separator or at a format's literal start, and end before a separator
     or at the run's end; those of a format's literal start also end where its alphabet or greatest length does. They
-    are as long as a labelled credential at most, but for the run, its parts between ``=``, its parts without
+    have ``LONGEST`` characters at most, but for the run, its parts between ``=``, its parts without
     separators, and web tokens, which have any length."""
     seps = [m.start() for m in SEPARATOR.finditer(token)]
     starts, stops = {0, *(i + 1 for i in seps)}, [*seps, len(token)]
     wanted: dict[int, set[int]] = {}
-    for a in sorted({*starts, *(m.start() for m in KNOWN.finditer(token))}):
+    for a in sorted({*starts, *(m.start() for m in (fitted.known.finditer(token) if fitted.known else ()))}):
         for z in stops[bisect_right(stops, a) :]:
             if z - a > LONGEST and (wanted.get(a) or a not in starts):
                 break
@@ -230,18 +268,17 @@ def credentials(token: str, fitted, threshold: float) -> list[tuple[int, int, st
     for a, z in zip(equals, equals[1:]):
         wanted.setdefault(a + 1, set()).add(z)
     free = 0  # behind the run of letters and digits of the last web token: what starts within it is bounded
-    for m in KNOWN.finditer(token):
+    for m in fitted.known.finditer(token) if fitted.known else ():
         a = m.start()
-        ends = [z for rx in STARTED if (found := rx.match(token, a)) for _, z in found.regs[1:]]
+        ends = [z for rx in fitted.started if (found := rx.match(token, a)) for _, z in found.regs[1:]]
         if a >= free and (found := WEB_TOKEN.match(token, a)):
             ends, free = [*ends, *(z for _, z in found.regs[1:] if z > 0)], found.end(1)
         wanted.setdefault(a, set()).update(ends)
     found = []
     for a, ends in wanted.items():
-        digit = next((i for i in range(a, min(max(ends, default=a), len(token))) if token[i] in DIGIT), len(token))
-        ends = sorted(z - a for z in ends if z - a >= 16 and z > digit and token[z - 1] not in SEPARATORS and not token[a:z].isdigit())
+        ends = sorted(z - a for z in ends if z - a >= fitted.least and token[z - 1] not in SEPARATORS)
         if ends and token[a] not in SEPARATORS:
-            found += [(name in PLAIN, -n if name in PLAIN else -n * s, a, a + n, name, s) for n, (name, s) in zip(ends, scores(token[a : a + ends[-1]], ends, fitted)) if s >= threshold]
+            found += [(name in fitted.plain, -n if name in fitted.plain else -n * s, a, a + n, name, s) for n, (name, s) in zip(ends, scores(token[a : a + ends[-1]], ends, fitted)) if s >= threshold]
     used, out = bytearray(len(token)), []
     for _, _, a, z, name, s in sorted(found):
         if used.find(1, a, z) < 0:
@@ -250,25 +287,20 @@ def credentials(token: str, fitted, threshold: float) -> list[tuple[int, int, st
     return out
 
 
-def scan_text(text: str, fitted, threshold: float) -> list[tuple[str, int, int, str, float]]:
+def scan_text(text: str, fitted: Grammar, threshold: float) -> list[tuple[str, int, int, str, float]]:
     """(kind, start, end, format, score) of one text by start, then kind."""
     out = []
     lowered = text.encode().lower()
     if any(w in lowered for w in ASSIGN_WORDS):
         out += [("assign", m.start(), m.end(), m[1].lower(), 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    for run in LONG_RUN.finditer(text):
+    for run in fitted.run.finditer(text):
         token, at = run[0], run.start()
-        if token.isalpha():  # hexadecimal runs can be letters alone
-            out += [("hex", at + m.start(), at + m.end(), "", 0.0) for m in HEX.finditer(token) if len(m[0]) >= 16]
-            if "AKIA" in token:
-                out += [("access", at + m.start(), at + m.end(), "", 0.0) for m in ACCESS.finditer(token) if len(m[0]) >= 18]
-            continue
         if "AKIA" in token:
             out += [("access", at + m.start(), at + m.end(), "", 0.0) for m in ACCESS.finditer(token) if len(m[0]) >= 18]
         out += [("hex", at + m.start(), at + m.end(), "", 0.0) for m in HEX.finditer(token) if len(m[0]) >= 16]
-        core = token.strip(SEPARATORS)
-        start = at + token.index(core)
-        out += [("grammar", start + a, start + z, name, s) for a, z, name, s in credentials(core, fitted, threshold)]
+        if core := token.strip(SEPARATORS):
+            start = at + token.index(core)
+            out += [("grammar", start + a, start + z, name, s) for a, z, name, s in credentials(core, fitted, threshold)]
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -276,9 +308,9 @@ SCHEMA = "doc_id long, spans array<struct<kind string, start int, end int, forma
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("format", pa.string()), ("score", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, per_format: int = 150, alpha: float = 0.05) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, grammar: Grammar | None = None) -> DataFrame:
     """(doc_id, spans) of every row. One narrow scan: no shuffle, and memory of one Arrow batch."""
-    fitted = model(per_format, alpha)
+    fitted = grammar or model()
 
     def scan(batches):
         for b in batches:
@@ -303,10 +335,10 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "<SECRET>", grammar: Grammar | None = None) -> DataFrame:
     """The columns of ``docs`` with every found span of ``text`` replaced by ``mark``; n_chars follows the new text.
     Null texts stay null."""
-    fitted, at = model(), docs.columns.index("text")
+    fitted, at = grammar or model(), docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
         if not text:
