@@ -6,7 +6,9 @@ the bits are cut into more than ``radius / 2`` blocks, so any pair within the ra
 most one bit, and there is one table for each block. None is missed; what is compared grows with the square of the rows.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Null or empty texts have the all-zero fingerprint;
-equal texts have equal ones. Extra columns are ignored; an empty table gives an empty one.
+equal texts have equal ones. Texts of any length are fingerprinted whole. Rows without an id have fingerprints, but
+stand outside the order of ids: the empty text is their next. Rows that share an id follow each other by a hash of the
+text. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -65,20 +67,21 @@ def with_next(docs: DataFrame, visit, schema: str, id_col: str = "doc_id", text_
     an id stand outside that ring; the empty text is their next.
 
     Ids are cut into ranges at approximate quantiles; each range is sorted on its own and also gets the first row of
-    the range behind it. So texts are shuffled once, no task holds more than one row in Python besides its Arrow
-    batch, and nothing is numbered globally. The driver holds one (id, hash) per range, 10,000 at most."""
+    the range behind it; rows without an id are dealt to ranges of their own. So texts are shuffled once, no task holds
+    more than one row in Python besides its Arrow batch, and nothing is numbered globally. The driver holds one
+    (id, hash) per range, 100,000 at most; larger ranges are sorted on disk."""
     rows = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    k = max(1, min(10_000, -(-rows.count() // rows_a_range)))
+    k = max(1, min(100_000, -(-rows.count() // rows_a_range)))
     found = rows.agg(F.percentile_approx("id", [i / k for i in range(1, k)], 20 * k)).first()[0] if k > 1 else None
     cuts = np.array(sorted(set(found or [])), np.int64)
 
-    def place(ids: pa.Array) -> np.ndarray:
-        """The range of each id; -1 without one."""
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)))
+    def place(ids: pa.Array, keys: pa.Array) -> np.ndarray:
+        """The range of each id; without one, a negative number by the hash of the text."""
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1 - keys.to_numpy() % k, np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False)))
 
     def heads_of(batches):
         for b in batches:
-            at, first = place(b.column(0)), {}
+            at, first = place(b.column(0), b.column(1)), {}
             for g, i, key in zip(at.tolist(), b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if g >= 0 and (g not in first or (i, key) < first[g]):
                     first[g] = (i, key)
@@ -89,7 +92,7 @@ def with_next(docs: DataFrame, visit, schema: str, id_col: str = "doc_id", text_
 
     def spread(batches):
         for b in batches:
-            at = place(b.column(0))
+            at = place(b.column(0), b.column(2))
             more = [(n, first[x]) for n, x in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())) if x in first]
             take = pa.array([*range(b.num_rows), *(n for n, _ in more)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array([*at.tolist(), *(g for _, g in more)], pa.int64()), pa.array([0] * b.num_rows + [1] * len(more), pa.int32())], ["id", "text", "key", "g", "ghost"])
@@ -122,9 +125,18 @@ def edited_text(text: str, following: str) -> str:
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Fingerprints of every row, of its edited text, and the likeness of both to the row's own."""
 
+    known = {}  # fingerprints of the last two whole texts: a row's next is visited right behind it
+
+    def whole(text):
+        if text not in known:
+            if len(known) > 1:
+                del known[next(iter(known))]
+            known[text] = fingerprint(text, bits)
+        return known[text]
+
     def visit(i, text, following):
         changed = edited_text(text, following)
-        own, edited, other = fingerprint(text, bits), fingerprint(changed, bits), fingerprint(following, bits)
+        own, edited, other = whole(text), fingerprint(changed, bits), whole(following)
         return i, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.hex(), edited.hex(), likeness(own, edited), likeness(own, other)
 
     return with_next(docs, visit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", id_col, text_col)
