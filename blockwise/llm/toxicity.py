@@ -2,14 +2,18 @@
 
 A document is a bag of sentences. Each sentence gets a probability from a linear model over its words and word
 beginnings; noisy-or combines them to the document's probability, and the weights are trained from document labels
-alone by gradient descent on the bag likelihood. The same weights then locate offending sentences.
+alone by gradient descent on the bag likelihood. The same weights then locate offending sentences. A sentence without
+any feature of the model is no evidence and counts as 0, in training as in scoring, so that long texts don't turn toxic
+by their length; a feature counts once in a sentence.
 
-Null or empty texts are bags without sentences and score 0; repeated rows score alike; an empty table gives an empty
-one; extra columns are ignored. Without any positive or negative label every score is 0.
+Null or empty texts are bags without sentences and score 0; texts of any length are scored whole; repeated rows score
+alike, and a score of just 0.5 is toxic; an empty table gives an empty one; extra columns are ignored. Without any
+positive or negative label every score is 0. Labels that contradict each other for one id count as toxic.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -45,14 +49,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_chars: int = 6000) -> list[tuple[str, int]]:
-    """At most ``limit`` labelled rows outside the held-out fold, by a hash of their id, as (text, label). Rows over
-    ``max_chars`` are no training rows, so that the driver holds a bounded number of bytes; they are scored whole."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_total: int = 24_000_000) -> list[tuple[str, int]]:
+    """Labelled rows outside the held-out fold as (text, label), by a hash of their id: the first ``limit`` of them, as
+    many as hold ``max_total`` characters together. That bounds what the driver holds; no row is left out for its length
+    alone. Rows that share an id all take its label."""
     marked = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     marked = marked.where(~held_out("id")).withColumn("h", F.xxhash64("id"))
-    chosen = marked.orderBy("h").limit(limit).select("id", "y")
-    rows = id_text(docs, id_col, text_col).where(~held_out("id")).where(F.length("text") <= max_chars).join(F.broadcast(chosen), "id")  # at most ``limit`` rows are broadcast
-    return [(r.text, r.y) for r in rows.select("text", "y", "id").orderBy("id", F.xxhash64("text")).limit(limit).collect()]
+    chosen = marked.orderBy("h").limit(limit)
+    rows = id_text(docs, id_col, text_col).where(~held_out("id")).withColumn("k", F.xxhash64("text")).join(F.broadcast(chosen), "id")  # at most ``limit`` rows are broadcast
+    sizes = rows.select("h", "id", "k", F.length("text").alias("n")).orderBy("h", "id", "k").limit(limit).collect()
+    taken = 0
+    for n, r in enumerate(sizes):
+        taken += r.n
+        if taken > max_total:
+            sizes = sizes[:n]
+            break
+    if not sizes:
+        return []
+    last = F.struct(*[F.lit(v).cast("long") for v in sizes[-1][:3]])
+    return [(r.text, r.y) for r in rows.where(F.struct("h", "id", "k") <= last).select("text", "y", "h", "id", "k").orderBy("h", "id", "k").limit(len(sizes)).collect()]
 
 
 def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: float = 0.5, l2: float = 1e-4) -> tuple[dict[bytes, float], float]:
@@ -85,7 +100,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
     every = list(index)
     names = [every[i] for i in chosen.tolist()]
     sent, feat = sent[place[feat] >= 0], place[feat[place[feat] >= 0]]
-    # a sentence without features only has the bias: its probability is kept small by starting low
+    told, sent = np.unique(sent, return_inverse=True)  # sentences without features are no evidence
+    doc, at = doc[told], len(told)
     w, b = np.zeros(len(names)), -7.0
     gw, gb = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
@@ -101,7 +117,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
         gb += db**2
         w -= rate * dw / np.sqrt(gw)
         b = min(-6.0, b - 0.1 * db / np.sqrt(gb))
-    return {f: float(v) for f, v in zip(names, w) if abs(v) > 0.05}, float(b)
+    return dict(zip(names, w.tolist())), float(b)
 
 
 BUCKETS = 1 << 23
@@ -122,33 +138,31 @@ def _telling_buckets(rows: list[tuple[str, int]], least: int) -> np.ndarray:
     return (seen >= least) & ((bad + 0.5) / (seen + 0.5) > 1.5 * sum(y for _, y in rows) / len(rows))
 
 
-def bag_scores(text: str, weights: dict[bytes, float], bias: float, known: dict[bytes, float], found: list | None = None) -> float:
-    """Noisy-or of the sentence probabilities of one text; ``known`` keeps words' weights; ``found`` takes the
-    (start byte, end byte, probability) of sentences above one half. The bias alone is no evidence: sentences without
-    any weighted word count as 0, so that long texts don't turn toxic by their length."""
+def bag_scores(text: str, weights: dict[bytes, float], bias: float, known: dict[bytes, tuple], found: list | None = None) -> float:
+    """Noisy-or of the sentence probabilities of one text; ``known`` keeps words' features; ``found`` takes the
+    (start byte, end byte, probability) of sentences of one half or more."""
     none = 0.0
     for start, end, words in sentences(text):
-        z, any_hit = 0.0, False
+        held: set[bytes] = set()
         for w in words:
-            v = known.get(w)
-            if v is None:
-                v = known[w] = sum(weights.get(f, 0.0) for f in features(w))
-            if v:
-                z += v
-                any_hit = True
-        if any_hit:
-            p = 1 / (1 + np.exp(-min(30.0, max(-30.0, z + bias))))
-            none += np.log1p(-min(p, 1 - 1e-9))
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(f for f in features(w) if f in weights)
+            if own:
+                held.update(own)
+        if held:
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, bias + sum(weights[f] for f in sorted(held))))))
+            none += math.log1p(-min(p, 1 - 1e-9))
             if found is not None and p >= 0.5:
-                found.append((start, end, float(p)))
-    return float(1 - np.exp(none))
+                found.append((start, end, p))
+    return 1 - math.exp(none)
 
 
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans): spans are the offending sentences (bytes, probability). One narrow scan."""
 
     def scan(batches):
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple] = {}
         for b in batches:
             scores, spans = [], []
             for t in b.column(1).to_pylist():
@@ -167,7 +181,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = 12_000, threshol
     at = docs.columns.index("text")
 
     def keep(batches):
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple] = {}
         for b in batches:
             ok = []
             for t in b.column(at).to_pylist():
