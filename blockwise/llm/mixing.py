@@ -15,7 +15,8 @@ empty name; null texts have no tokens and are never taken; repeated rows are tak
 share the place of the id "null". Extra columns are ignored unless carried; an empty table gives an empty one.
 
 Only the leaf table (one row per domain, language and source) is shaped by windows over a parent; rows are
-dealt by (leaf, slice of the hash), so a leaf with a third of all rows is spread over 4096 slices.
+dealt by (leaf, slice of the hash). Slices are as many as keep ``SLICE`` tokens of the input in one, 4096 at least, so a
+leaf with a third of all rows is spread; what is ahead of a slice is summed in two steps, within groups of slices.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import materialize
 
 LEVELS = ("domain", "lang", "source")
 SALTS = 16
+SLICE = 10_000_000  # tokens
 
 
 @dataclass(frozen=True)
@@ -105,14 +107,20 @@ def select_prefixes(rows: DataFrame, mix: Mix) -> DataFrame:
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in LEVELS})
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "leaves")
     total = leaves.agg(F.sum("supply")).first()[0] or 0
+    digits = 3
+    while total > SLICE * 16**digits:
+        digits += 1
     budgets = materialize(leaf_budgets(leaves, mix, total).where("budget > 0"), "budgets")
     salted = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     d = rows.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "salt"])
     d = d.withColumn("copies", F.expr("budget div supply")).withColumn("rest", F.expr("budget % supply"))
-    d = d.withColumn("h", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("copies").cast("string"), name).cast("binary"))).withColumn("slice", F.substring("h", 1, 3))
-    sums = d.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("m"))
-    offsets = sums.withColumn("ahead", F.sum("m").over(Window.partitionBy(*LEVELS).orderBy("slice")) - F.col("m")).drop("m")
+    d = d.withColumn("h", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("copies").cast("string"), name).cast("binary"))).withColumn("slice", F.substring("h", 1, digits))
+    sums = d.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("m")).withColumn("group", F.substring("slice", 1, (digits + 1) // 2))
+    before = lambda key, by: F.sum("m").over(Window.partitionBy(*key).orderBy(by)) - F.col("m")
+    groups = sums.groupBy(*LEVELS, "group").agg(F.sum("m").alias("m")).select(*LEVELS, "group", before(LEVELS, "group").alias("first"))
+    offsets = sums.select(*LEVELS, "group", "slice", before((*LEVELS, "group"), "slice").alias("then")).join(groups, [*LEVELS, "group"])
+    offsets = offsets.select(*LEVELS, "slice", (F.col("first") + F.col("then")).alias("ahead"))
     d = d.join(offsets, [*LEVELS, "slice"])
     inside = Window.partitionBy(*LEVELS, "slice").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("ahead") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
