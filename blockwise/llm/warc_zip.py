@@ -5,9 +5,13 @@ so every record is one byte range of the ZIP file. The reader parses the end rec
 directory, locates the stored archive and index members through their local headers, and reads each record by its
 range; nothing is extracted. Paths may be of any store that ``pyarrow.fs`` opens, and must be shared by all executors.
 
-Null payloads are empty; equal payloads of at least ``LEAST`` bytes are stored once, by the record of the smallest id,
-and the others are revisits; rows without an id become records without one. An empty table gives no archive and an
-empty result. Extra columns are ignored.
+Null payloads are empty; equal payloads of at least ``LEAST`` bytes are stored by the record of the smallest id, and
+those of other ids are revisits of it. Rows that repeat an id each become a record: those that have the smallest id of
+their payload are all responses, and no record revisits its own id. Rows without an id become records without one, and
+revisits like others where a row with an id stores their payload.
+Payloads of any length are one record; reader and writer hold one payload at a time. A package may hold several stored
+archives and indexes; a line of an index names its archive. An empty table gives no archive and an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import materialize, partitions, shared_dir, trim
 
 LEAST = 100
+MEMBER = "data.warc.gz"
 SALTS = 8
 HELD = 16_000_000  # bytes of payloads that a batch of read records holds
 _STORED, _END, _CENTRAL, _LOCAL, _END64, _LOCATOR = 0, b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04", b"PK\x06\x06", b"PK\x06\x07"
@@ -189,11 +194,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     store.create_dir(name.rpartition("/")[0], recursive=True)
                     sink = store.open_output_stream(name)
                     state.update(path=path, sink=sink, zip=ZipWriter(sink, zip64), lines=[])
-                    state["zip"].begin("archive/data.warc.gz")
+                    state["zip"].begin(f"archive/{MEMBER}")
                 stored = first is None or first == i or len(payload) < LEAST
                 raw = gzip.compress(warc_record(i, url, payload, digest, first, stored=stored), 1, mtime=0)
                 at = state["zip"].write(raw)
-                state["lines"].append(json.dumps({"id": i, "offset": at, "length": len(raw)}) + "\n")
+                state["lines"].append(json.dumps({"id": i, "filename": MEMBER, "offset": at, "length": len(raw)}) + "\n")
                 if len(state["lines"]) >= records:
                     done.append(finish())
                     state = {}
@@ -215,12 +220,11 @@ def read_archives(paths: DataFrame, payloads: bool = False, block: int = 512) ->
                 store, name = _open(path)
                 with store.open_input_file(name) as file:
                     members = zip_members(file)
-                    data = next(v for k, v in members.items() if k.startswith("archive/"))
-                    at, size = next(v for k, v in members.items() if k.startswith("indexes/"))
-                    lines = [json.loads(x) for x in file.read_at(size, at).decode().splitlines()]
+                    archives = {k.removeprefix("archive/"): at for k, (at, _) in members.items() if k.startswith("archive/")}
+                    lines = [json.loads(x) for k, (at, size) in members.items() if k.startswith("indexes/") for x in file.read_at(size, at).decode().splitlines()]
                 for i in range(0, len(lines), block):
                     part = lines[i : i + block]
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([[data[0] + x["offset"] for x in part]], pa.list_(pa.int64())), pa.array([[x["length"] for x in part]], pa.list_(pa.int64()))], ["path", "offsets", "lengths"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([[archives[x["filename"]] + x["offset"] for x in part]], pa.list_(pa.int64())), pa.array([[x["length"] for x in part]], pa.list_(pa.int64()))], ["path", "offsets", "lengths"])
 
     def fetch(batches):
         for b in batches:

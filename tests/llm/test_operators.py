@@ -367,7 +367,8 @@ def test_toxicity(spark):
     labels = spark.createDataFrame(marks, "doc_id long, toxic int, text int")
     docs = table(spark, rows)
     weights, bias = toxicity.train(toxicity.training_rows(docs, labels))
-    out = {r.doc_id: r for r in toxicity.score(docs, weights, bias).withColumn("held", toxicity.held_out()).collect()}
+    scored = toxicity.score(docs, weights, bias).withColumn("held", toxicity.held_out()).collect()
+    out = {r.doc_id: r for r in scored}
     assert all(out[i].held == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
     held = [(out[i].score >= 0.5) == bool(y) for i, y, _ in marks if out[i].held]
     assert np.mean(held) > 0.97 and out[900].score == out[901].score == out[902].score == 0
@@ -375,6 +376,17 @@ def test_toxicity(spark):
     raw = rows[worst][1].encode()
     assert any(re.search(rb"grobian|scoundrel|blockhead", raw[s.start : s.end]) for s in out[worst].spans)
     assert toxicity.train([("a", 0)]) == ({}, -30.0)
+    for i, t in rows[:50] + rows[-4:]:  # scores by their definition
+        bags = [{f for w in re.findall(rb"[a-z\x80-\xff]+", s.lower()) for f in toxicity.features(w)} & set(weights) for s in re.split(rb"[.!?\n]+", (t or "").encode())]
+        want = 1 - np.prod([1 - 1 / (1 + np.exp(-(bias + sum(weights[f] for f in bag)))) for bag in bags if bag])
+        assert any(r.score == pytest.approx(want, abs=1e-9) for r in scored if r.doc_id == i)
+    everything = toxicity.training_rows(docs, labels)
+    assert len(everything) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(600))
+    some = toxicity.training_rows(docs, labels, max_total=5000)
+    assert some == everything[: len(some)] and sum(len(t) for t, _ in some) <= 5000 < sum(len(t) for t, _ in everything[: len(some) + 1])
+    assert toxicity.training_rows(docs, labels, max_total=1) == []
+    none = docs.limit(0)
+    assert toxicity.drop_toxic(none, labels).count() == 0 and toxicity.drop_toxic(none, labels).columns == docs.columns
 
 
 def test_simhash(spark, monkeypatch):
@@ -420,6 +432,12 @@ def test_simhash_counts_near_copies(spark, monkeypatch):
     assert got == want and sum(n >= 1 for n in got.values()) >= 0.95 * len(rows)  # 59 of the 60 copies lie within the radius
 
 
+def test_vectors_of_one_id_and_without_one(spark):
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [2.0, 0.0, 0.0]), (3, [0.0, 3.0, 0.0]), (None, [1.0, 0.0, 0.0]), (None, None), (9, [0.1, 0.1, 5.0])]
+    got = pstable.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 0, 0, True), (3, 1, 3, True), (7, 1, 3, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+
+
 def test_pstable(spark, monkeypatch):
     monkeypatch.setattr(pstable, "TILE", 16)
     rnd = np.random.default_rng(3)
@@ -444,9 +462,9 @@ def test_pstable(spark, monkeypatch):
                 links[b] += 1
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
-    assert set(got) == set(links) and all(got[i].n_links <= links[i] for i in links)
+    assert set(got) - {None} == set(links) and all(got[i].n_links <= links[i] for i in links)
     assert sum(r.n_links for r in got.values()) >= 0.97 * sum(links.values())
-    assert all(got[i].kept == (got[i].component_id == i) for i in got) and sum(got[i].component_id == find(i) for i in got) >= len(got) - 3
+    assert all(got[i].kept == (got[i].component_id == i) for i in links) and sum(got[i].component_id == find(i) for i in links) >= len(links) - 3
 
 
 def test_components(spark):
@@ -487,6 +505,29 @@ def test_warc(spark, zip64):
             assert revisit or bytes(r.payload) == raw
 
 
+def test_warc_of_repeated_ids_and_several_members(spark, tmp_path):
+    big = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(1, "u", big), (1, "v", big), (2, "w", big), (2, "w", big), (None, None, big)], "page_id long, url string, html string")
+    got = warc_zip.read_archives(warc_zip.write_archives(pages, warc_zip.archive_folder(spark))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (2, "revisit", 1)]
+    with open(tmp_path / "two.wacz", "wb") as f:
+        z = warc_zip.ZipWriter(f, zip64=True)
+        for name, ids in (("a.warc.gz", (1, 2)), ("b.warc.gz", (3,))):
+            z.begin(f"archive/{name}")
+            lines = []
+            for i in ids:
+                payload = f"page {i}".encode()
+                raw = warc_zip.gzip.compress(warc_zip.warc_record(i, "u", payload, hashlib.sha256(payload).hexdigest(), None))
+                lines.append(warc_zip.json.dumps({"id": i, "filename": name, "offset": z.write(raw), "length": len(raw)}) + "\n")
+            z.end()
+            z.begin(f"indexes/{name}.cdxj")
+            z.write("".join(lines).encode())
+            z.end()
+        z.close()
+    two = spark.createDataFrame([(f"file://{tmp_path}/two.wacz",)], "path string")
+    assert sorted((r.page_id, bytes(r.payload)) for r in warc_zip.read_archives(two, payloads=True).collect()) == [(i, f"page {i}".encode()) for i in (1, 2, 3)]
+
+
 def test_mixing_moves_shortage_to_siblings_first(spark):
     mix = mixing.Mix(domain={"web": 1, "books": 1}, source={}, budget_percent=100, max_epochs=1)
     leaves = spark.createDataFrame([("books", "en", "a", 10), ("books", "en", "b", 500), ("web", "en", "c", 490)], "domain string, lang string, source string, supply long")
