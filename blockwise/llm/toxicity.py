@@ -102,7 +102,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
     sent, feat = sent[place[feat] >= 0], place[feat[place[feat] >= 0]]
     told, sent = np.unique(sent, return_inverse=True)  # sentences without features are no evidence
     doc, at = doc[told], len(told)
-    w, b = np.zeros(len(names)), -7.0
+    w, b = np.zeros(len(names)), -5.0
     gw, gb = np.full(len(names), 1e-6), 1e-6
     for _ in range(rounds):
         z = b + np.bincount(sent, w[feat], minlength=at)
@@ -116,7 +116,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, least: int = 3, rate: f
         gw += dw**2
         gb += db**2
         w -= rate * dw / np.sqrt(gw)
-        b = min(-6.0, b - 0.1 * db / np.sqrt(gb))
+        b = min(-4.0, b - 0.1 * db / np.sqrt(gb))
     return dict(zip(names, w.tolist())), float(b)
 
 
