@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut, and lost executors cost
-    only the tasks that ran on them. ``discard`` removes the files."""
+    only the tasks that ran on them. Shuffle files of the writing go with its end. ``discard`` removes the table."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/blockwise/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
     table = spark.read.schema(schema).parquet(path)
     table.folder = path
     return table

@@ -119,6 +119,11 @@ def summed(starts: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, li
     return total > 1, [total]
 
 
+def repeated(starts: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys that occur twice or more."""
+    return summed(starts, values)[0], []
+
+
 def met(chunks: DataFrame, *replies: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Rows that ``run(g, blob, answers)`` yields as record batches: each chunk with the answers of each table, given
     as (places, finding, ...) arrays or None."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, id_text, materialize, mix, trim
 from .components import components
-from .counting import RANGED, Words, answers, met, n_ranges, summed, to_ranges, word_chunks
+from .counting import RANGED, Words, answers, met, n_ranges, repeated, to_ranges, word_chunks
 from .packing import pack, unpack
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,15 +62,14 @@ class Edges:
         self.hash = window_hashes(self.chunk.words, window, bits)[self.flat]
         self.keys, self.which = np.unique(self.hash, return_inverse=True)
 
-    def keep(self, found: tuple | None) -> np.ndarray:
-        """Leaves only edges that occur twice or more; returns how often."""
-        total = np.ones(len(self.keys), np.uint64)
+    def keep(self, found: tuple | None) -> int:
+        """Leaves only edges that occur twice or more; returns their number."""
+        many = np.zeros(len(self.keys), bool)
         if found:
-            total[found[0]] = found[1]
-        total = total[self.which]
-        many = total > 1
+            many[found[0]] = True
+        many = many[self.which]
         self.row, self.at, self.flat, self.hash = self.row[many], self.at[many], self.flat[many], self.hash[many]
-        return total[many]
+        return len(self.hash)
 
     def follows(self) -> np.ndarray:
         """Whether the edge before stands right before it in the same row."""
@@ -125,22 +124,22 @@ def segments(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col
 
     def node_entries(g, blob, found):
         edges = Edges(blob, window, bits)
-        if len(edges.keep(found[0])):
+        if edges.keep(found[0]):
             keys, values, _ = _nodes(edges, window)
             yield from to_ranges(g, keys, values, ranges)
 
     def cut(g, blob, found):
         edges = Edges(blob, window, bits)
-        total = edges.keep(found[0])
-        if not len(total):
+        n = edges.keep(found[0])
+        if not n:
             return
         names, _, (first, last) = _nodes(edges, window)
         kind = np.zeros(len(names), np.uint32)
         kind[found[1][0]] = found[1][1]
         begin = np.flatnonzero(~edges.follows() | (kind[first] > 0))
-        size = np.diff(np.append(begin, len(total)))
+        size = np.diff(np.append(begin, n))
         end = begin + size - 1
-        step = (np.arange(len(total)) - np.repeat(begin, size)).astype(np.uint64)
+        step = (np.arange(n) - np.repeat(begin, size)).astype(np.uint64)
         name = np.add.reduceat(mix(edges.hash + step * _BASE), begin)
         ends = (kind[first[begin]] & BRANCH) + 2 * (kind[last[end]] & BRANCH)
         row = np.flatnonzero(np.concatenate([[True], edges.row[begin][1:] != edges.row[begin][:-1]]))
@@ -152,7 +151,7 @@ def segments(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col
         k1 = np.where(edges.chunk.known[own], edges.chunk.ids[own], np.iinfo(np.int64).min)
         yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(edges.chunk.keys[own].view(np.int64)), pa.array(out, pa.binary())], ["k1", "k2", "spans"])
 
-    often = materialize(answers(chunks.select("g", "blob").mapInArrow(edge_entries, RANGED), summed), "edges")
+    often = materialize(answers(chunks.select("g", "blob").mapInArrow(edge_entries, RANGED), repeated), "edges")
     kinds = materialize(answers(met(chunks, often, run=node_entries, schema=RANGED), _kinds), "nodes")
     # rows of one id and text have the same segments: one of them stands for all
     out = materialize(met(chunks, often, kinds, run=cut, schema="k1 long, k2 long, spans binary").dropDuplicates(["k1", "k2"]), "segments")
