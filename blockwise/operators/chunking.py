@@ -3,6 +3,11 @@
 ``chunk`` takes (stream_id, payload) or (stream_id, seq, payload) and gives (stream_id, idx, payload, size, closed):
 ``closed`` is false for a block that only the end of its stream or a manual split has ended. With ``seq``, each
 row is followed by a manual split, and blocks are numbered through the stream. Empty and null payloads give no block.
+Columns named in ``carry`` stay with the blocks of rows without ``seq``.
+
+A chunker of one stream is fed piece by piece: ``ends`` gives the ends of blocks, counted from the piece's start (a
+signature may end a block before it), ``close`` those that only the stream's end decides, counted back from there.
+``dump`` and ``load`` carry what it knows as named numbers and one table of bytes.
 """
 
 from __future__ import annotations
@@ -35,8 +40,17 @@ class RollingChunker:
     def split(self) -> None:
         self.hash = self.size = self.last = 0
 
+    def close(self) -> list[int]:
+        return []
+
+    def dump(self) -> tuple[dict, bytes]:
+        return {"last": self.last, "hash": self.hash, "size": self.size}, bytes(self.next_of)
+
+    def load(self, settings: dict, table: bytes) -> None:
+        self.last, self.hash, self.size = (settings[k] for k in ("last", "hash", "size"))
+        self.next_of = bytearray(table)
+
     def ends(self, data: bytes, cuts: frozenset[int] = frozenset()) -> list[int]:
-        """Offsets behind the last byte of every block that ends within ``data``."""
         next_of, last, h, size = self.next_of, self.last, self.hash, self.size
         least, most, limit, out = self.least, self.most, self.limit, []
         for at, c in enumerate(data):
@@ -64,6 +78,17 @@ class EntropyChunker:
         self.count, self.counted, self.hash, self.size, self.first = [0] * 256, 0, 0, 0, True
         self.tail = b""
 
+    def close(self) -> list[int]:
+        return []
+
+    def dump(self) -> tuple[dict, bytes]:
+        names = {k: int(getattr(self, k)) for k in ("counted", "hash", "size", "first")}
+        return names, np.array(self.count, np.uint32).tobytes() + self.tail
+
+    def load(self, settings: dict, table: bytes) -> None:
+        self.counted, self.hash, self.size, self.first = (settings[k] for k in ("counted", "hash", "size", "first"))
+        self.count, self.tail = np.frombuffer(table, np.uint32, 256).tolist(), table[1024:]
+
     def ends(self, data: bytes) -> list[int]:
         out, at = [], 0
         if self.first:
@@ -117,40 +142,99 @@ class EntropyChunker:
         return at
 
 
+class FixedChunker:
+    """Blocks of equal size."""
+
+    def __init__(self, max_size: int) -> None:
+        self.most, self.size = max_size, 0
+
+    def split(self) -> None:
+        self.size = 0
+
+    def close(self) -> list[int]:
+        return []
+
+    def dump(self) -> tuple[dict, bytes]:
+        return {"size": self.size}, b""
+
+    def load(self, settings: dict, table: bytes) -> None:
+        self.size = settings["size"]
+
+    def ends(self, data: bytes) -> list[int]:
+        out = list(range(self.most - self.size, len(data) + 1, self.most))
+        self.size = (self.size + len(data)) % self.most
+        return out
+
+
 class SignatureChunker:
-    """Blocks also (``rolling``) or only start where a file signature does."""
+    """Blocks also (``rolling``) or only end where a file signature starts, and at the greatest size. The last bytes
+    that came wait until the bytes behind them tell whether a signature starts there."""
+
+    WAIT = 7  # bytes of a signature that count
 
     def __init__(self, max_size: int, signatures: list[bytes], rolling: bool) -> None:
         if any(len(s) < 2 for s in signatures) or not signatures:
             raise OptionError("signatures have two bytes at least")
-        self.pattern = re.compile(b"(?=" + b"|".join(re.escape(s[:7]) for s in sorted(signatures, key=len, reverse=True)) + b")", re.S)
+        self.pattern = re.compile(b"(?=" + b"|".join(re.escape(s[: self.WAIT]) for s in sorted(signatures, key=len, reverse=True)) + b")", re.S)
         self.most, self.rolling = max_size, RollingChunker(max_size) if rolling else None
+        self.waiting, self.size = b"", 0
 
     def split(self) -> None:
+        self.waiting, self.size = b"", 0
         if self.rolling:
             self.rolling.split()
 
-    def ends(self, data: bytes) -> list[int]:
-        starts = [m.start() for m in self.pattern.finditer(data) if m.start()]
+    def dump(self) -> tuple[dict, bytes]:
+        settings, table = self.rolling.dump() if self.rolling else ({}, b"")
+        return settings | {"open": self.size}, table + self.waiting
+
+    def load(self, settings: dict, table: bytes) -> None:
+        self.size = settings["open"]
         if self.rolling:
-            return self.rolling.ends(data, frozenset(starts))
-        out, begin = [], 0
-        for at in [*starts, len(data) + self.most]:
-            while min(at, len(data)) - begin >= self.most:
-                begin += self.most
-                out.append(begin)
-            if begin < at < len(data):
-                out.append(at)
-                begin = at
-        return out
+            self.rolling.load(settings, table[:256])
+        self.waiting = table[256 if self.rolling else 0 :]
 
+    def ends(self, data: bytes) -> list[int]:
+        return self._decided(data, max(0, len(self.waiting) + len(data) - self.WAIT))
 
-#: Starts of common file types, most as registered by their formats (fixed values).
-SIGNATURES = [b"\x89PNG\r\n\x1a", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"%PDF-", b"PK\x03\x04", b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"Rar!\x1a\x07", b"RIFF", b"OggS", b"fLaC", b"ID3", b"\x7fELF", b"\xca\xfe\xba\xbe", b"SQLite ", b"\x28\xb5\x2f\xfd", b"wOFF"]
+    def close(self) -> list[int]:
+        at = len(self.waiting)
+        return [end for end in self._decided(b"", at) if end < 0 or self.size == 0 and at]
+
+    def _decided(self, data: bytes, upto: int) -> list[int]:
+        """The ends up to this place of the waiting bytes and ``data``."""
+        line, before = self.waiting + data, len(self.waiting)
+        starts = [m.start() for m in self.pattern.finditer(line) if 0 < m.start() <= upto]
+        self.waiting = line[upto:]
+        if self.rolling:
+            found = self.rolling.ends(line[:upto], frozenset(starts))
+            self.size = self.rolling.size
+        else:
+            found, begin = [], -self.size
+            for at in [*starts, upto]:
+                found += (cut := list(range(begin + self.most, at + 1, self.most)))
+                begin = cut[-1] if cut else begin
+                if begin < at < len(line) and at in starts:
+                    found.append(at)
+                    begin = at
+            self.size = upto - begin
+        return [end - before for end in found]
+
+
+#: Starts of common file types, as public registries of file formats list them (fixed values); 7 bytes of each count.
+SIGNATURES = [
+    b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"%PDF-", b"PK\x03\x04", b"\x1f\x8b\x08", b"BZh",
+    b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"Rar!\x1a\x07", b"RIFF", b"OggS", b"fLaC", b"ID3", b"\x7fELF",
+    b"\xca\xfe\xba\xbe", b"SQLite format 3\x00", b"\x28\xb5\x2f\xfd", b"wOFF", b"II*\x00", b"MM\x00*", b"8BPS",
+    b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"{\\rtf1", b"!<arch>\n", b"\xed\xab\xee\xdb", b"MSCF", b"FLV\x01",
+    b"\x00\x00\x01\xba", b"\x00\x00\x01\xb3", b"\x1aE\xdf\xa3", b"MThd", b"wOF2", b"<?xml ", b"\x04\x22\x4d\x18",
+]
 
 
 def chunker(mode: str, max_size: int, signatures: list[bytes] | None = None):
-    """A fresh chunker of a content-defined mode."""
+    """A fresh chunker."""
+    if mode == "fixed":
+        return FixedChunker(max_size)
     if mode == "dynamic":
         return RollingChunker(max_size)
     if mode == "entropy":
@@ -158,21 +242,20 @@ def chunker(mode: str, max_size: int, signatures: list[bytes] | None = None):
     return SignatureChunker(max_size, signatures or SIGNATURES, mode == "signature")
 
 
-def chunk(df: DataFrame, mode: str = "fixed", max_size: int = 4096, signatures: list[bytes] | None = None) -> DataFrame:
+def chunk(df: DataFrame, mode: str = "fixed", max_size: int = 4096, signatures: list[bytes] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     check_size(mode, max_size)
     by_seq = "seq" in df.columns
-    rows = df.select("stream_id", *(["seq"] if by_seq else []), F.col("payload").cast("binary").alias("payload")).where("octet_length(payload) > 0")
+    rows = df.select("stream_id", *(["seq"] if by_seq else []), F.col("payload").cast("binary").alias("payload"), *carry).where("octet_length(payload) > 0")
     if mode == "fixed":
-        return _fixed(rows, max_size, by_seq)
-    rows = rows if by_seq else rows.withColumn("seq", F.lit(0).cast("long"))
+        return _fixed(rows, max_size, by_seq, carry)
+    kept = [f for f in rows.schema if f.name in carry]
+    shape = "stream_id long, idx long, payload binary, size int, closed boolean" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
 
-    def cut(table):
+    def cut(payloads):
         engine, out, idx = chunker(mode, max_size, signatures), [], 0
-        order = np.argsort(table.column("seq").to_numpy(), kind="stable")
-        payloads = table.column("payload").to_pylist()
-        for data in (payloads[i] for i in order.tolist()):
+        for data in payloads:
             begin = 0
-            for end in engine.ends(data):
+            for end in [*engine.ends(data), *(len(data) + e for e in engine.close())]:
                 out.append((idx, data[begin:end], True))
                 begin, idx = end, idx + 1
             if begin < len(data):
@@ -184,22 +267,30 @@ def chunk(df: DataFrame, mode: str = "fixed", max_size: int = 4096, signatures:
     def per_row(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield _blocks(b.column("stream_id")[i].as_py(), cut(pa.table(b.slice(i, 1))))
+                cells = [c[i].as_py() for c in b.columns]
+                blocks = _blocks(cells[0], cut([cells[1]]))
+                more = [pa.array([v] * blocks.num_rows, f.type) for v, f in zip(cells[2:], list(b.schema)[2:])]
+                yield pa.RecordBatch.from_arrays([*blocks.columns, *more], [*blocks.schema.names, *b.schema.names[2:]])
 
     def per_stream(table):
-        return pa.table(_blocks(table.column("stream_id")[0].as_py(), cut(table)))
+        order = np.argsort(table.column("seq").to_numpy(), kind="stable")
+        payloads = table.column("payload").to_pylist()
+        return pa.table(_blocks(table.column("stream_id")[0].as_py(), cut([payloads[i] for i in order.tolist()])))
 
-    shape = "stream_id long, idx long, payload binary, size int, closed boolean"
-    return rows.groupBy("stream_id").applyInArrow(per_stream, shape) if by_seq else rows.mapInArrow(per_row, shape)
+    if by_seq:
+        return rows.drop(*carry).groupBy("stream_id").applyInArrow(per_stream, shape.partition("closed boolean")[0] + "closed boolean")
+    # cutting costs far more than moving bytes, and the scan's splits may be few: streams are dealt evenly first
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "stream_id").mapInArrow(per_row, shape)
 
 
 def _blocks(stream_id, blocks) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([stream_id] * len(blocks), pa.int64()), pa.array([b[0] for b in blocks], pa.int64()), pa.array([b[1] for b in blocks], pa.binary()), pa.array([len(b[1]) for b in blocks], pa.int32()), pa.array([b[2] for b in blocks], pa.bool_())], ["stream_id", "idx", "payload", "size", "closed"])
 
 
-def _fixed(rows: DataFrame, max_size: int, by_seq: bool) -> DataFrame:
+def _fixed(rows: DataFrame, max_size: int, by_seq: bool, carry: tuple[str, ...]) -> DataFrame:
     """All in Catalyst: positions are generated and the payload is sliced."""
     d = rows.withColumn("i", F.explode(F.expr(f"sequence(0L, (octet_length(payload) - 1) div {max_size})")))
     d = d.withColumn("payload", F.expr(f"substring(payload, cast(i * {max_size} + 1 as int), {max_size})")).withColumn("size", F.octet_length("payload"))
     idx = (F.row_number().over(Window.partitionBy("stream_id").orderBy("seq", "i")) - 1).cast("long") if by_seq else F.col("i")
-    return d.select("stream_id", idx.alias("idx"), "payload", "size", (F.col("size") == max_size).alias("closed"))
+    return d.select("stream_id", idx.alias("idx"), "payload", "size", (F.col("size") == max_size).alias("closed"), *carry)

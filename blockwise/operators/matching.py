@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..options import HASHES, OptionError
+from ..storage import materialize
 
 
 def block_hash(payload: Column, algorithm: str = "sha1") -> Column:
@@ -29,8 +30,12 @@ def with_bucket(df: DataFrame, by: str = "stream_id", buckets: int = 64) -> Data
     return df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))))
 
 
-def number(blocks: DataFrame, base: int = 1, buckets: int = 64) -> DataFrame:
-    """Adds ``n``: the position in (stream_id, idx) order over the whole table, and ``bucket``."""
+def number(blocks: DataFrame, base: int = 1, buckets: int | None = None) -> DataFrame:
+    """Adds ``n``: the position in (stream_id, idx) order over the whole table, and ``bucket``, of which there are as
+    many as keep 2,000,000 rows in one, 64 at least and 10,000 at most. Rows are read several times, so a costly plan
+    belongs in a written table first."""
+    if buckets is None:
+        buckets = min(10_000, max(64, blocks.count() // 2_000_000))
     d = with_bucket(blocks, "stream_id", buckets)
     counts = {r.bucket: r["count"] for r in d.groupBy("bucket").count().collect()}  # at most ``buckets`` rows
     offsets, ahead = [], base
@@ -107,14 +112,18 @@ def _evicting(blocks: DataFrame, bound: int, scope: list[str]) -> DataFrame:
     return blocks.join(found, [*scope, "n"]).withColumn("is_new", F.col("back_offset").isNull())
 
 
-def fragments(streams: DataFrame, mode: str = "fixed", max_size: int = 4096, algorithm: str = "sha1") -> DataFrame:
-    """Splitter: (stream_id, n from 0, hash, size, is_new, payload) over one corpus-wide order; every block, also the
-    last of a stream, is a fragment. The payload stays with its row and leaves the plan unless it is selected."""
+def fragments(streams: DataFrame, mode: str = "fixed", max_size: int = 4096, algorithm: str = "sha1", payloads: bool = False, signatures: list[bytes] | None = None) -> DataFrame:
+    """Splitter: (stream_id, n from 0, hash, size, is_new), with ``payloads`` the bytes too, over one corpus-wide order;
+    every block, also the last of a stream, is a fragment. Streams are cut once: what numbering and matching read is
+    the written table of the blocks' hashes."""
     from .chunking import chunk
 
-    blocks = chunk(streams, mode, max_size).withColumn("hash", block_hash(F.col("payload"), algorithm))
-    numbered = match(number(blocks, base=0))
-    return numbered.select("stream_id", "n", "hash", "size", "is_new", "payload")
+    blocks = chunk(streams, mode, max_size, signatures).withColumn("hash", block_hash(F.col("payload"), algorithm))
+    blocks = materialize(blocks.select("stream_id", "idx", "hash", "size", *(["payload"] if payloads else [])), "blocks")
+    found = match(number(blocks.select("stream_id", "idx", "hash", "size"), base=0))
+    if payloads:
+        found = found.join(blocks.select("stream_id", "idx", "payload"), ["stream_id", "idx"])
+    return found.select("stream_id", "n", "hash", "size", "is_new", *(["payload"] if payloads else []))
 
 
 def unique_blocks(blocks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import collision, estimates
 from ..operators import chunking, matching, ordering
 from ..sources import codec
+from ..storage import materialize
 
 SIZE, BOUND = 1024, 100
 
@@ -20,7 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _numbered(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     """Hash, size and number of every block of the corpus; payloads do not travel on."""
     cut = chunking.chunk(documents(spark, sf_dir), "fixed", size).withColumn("hash", matching.block_hash(F.col("payload")))
-    return matching.number(cut.select("stream_id", "idx", "hash", "size"))
+    return matching.number(materialize(cut.select("stream_id", "idx", "hash", "size"), "blocks"))
 
 
 def fixed_fragments(spark, sf_dir):
@@ -48,10 +49,8 @@ def unique_block_bytes(spark, sf_dir):
 
 def _redundancy(spark, sf_dir, by):
     """Redundancy of each group on its own: a block counts once per group."""
-    docs = documents(spark, sf_dir)
-    cut = chunking.chunk(docs, "fixed", SIZE).withColumn("hash", matching.block_hash(F.col("payload"))).select("stream_id", "hash", "size")
-    named = cut.join(docs.select("stream_id", by), "stream_id")
-    per = named.groupBy(by, "hash").agg(F.count("*").alias("times"), F.first("size").alias("size"))
+    cut = chunking.chunk(documents(spark, sf_dir), "fixed", SIZE, carry=(by,)).withColumn("hash", matching.block_hash(F.col("payload")))
+    per = cut.groupBy(by, "hash").agg(F.count("*").alias("times"), F.first("size").alias("size"))
     return per.groupBy(by).agg(F.sum("times").cast("long").alias("blocks"), F.count("*").alias("unique_blocks"), F.sum(F.col("times") * F.col("size")).cast("long").alias("total_bytes"), F.sum("size").cast("long").alias("unique_bytes"))
 
 
@@ -149,15 +148,15 @@ def _streams(spark, sf_dir):
 
 
 def indexed_roundtrip(spark, sf_dir):
-    return _same(codec.restore_by_join(codec.encode_indexed(_streams(spark, sf_dir), "fixed", 512)))
+    return _same(codec.restore_by_join(materialize(codec.encode_indexed(_streams(spark, sf_dir), "fixed", 512), "archive")))
 
 
 def seek_roundtrip(spark, sf_dir):
-    return _same(codec.restore_by_range(codec.encode_indexed(_streams(spark, sf_dir), "dynamic", 2048)))
+    return _same(codec.restore_by_range(materialize(codec.encode_indexed(_streams(spark, sf_dir), "dynamic", 2048), "archive")))
 
 
 def interleaved_roundtrip(spark, sf_dir):
-    return _same(codec.restore_by_range(codec.encode_interleaved(_streams(spark, sf_dir), "fixed", 512, 5120), True))
+    return _same(codec.restore_by_range(materialize(codec.encode_interleaved(_streams(spark, sf_dir), "fixed", 512, 5120), "archive"), True))
 
 
 def _cut_and_join(spark, sf_dir, mode):
@@ -176,12 +175,47 @@ def signature_roundtrip(spark, sf_dir):
     return _cut_and_join(spark, sf_dir, "signature")
 
 
+def signature_only_roundtrip(spark, sf_dir):
+    return _cut_and_join(spark, sf_dir, "signature_only")
+
+
 def rolling_fragments(spark, sf_dir):
-    return matching.fragments(_streams(spark, sf_dir), "dynamic", 2048).drop("payload")
+    return matching.fragments(_streams(spark, sf_dir), "dynamic", 2048)
 
 
 def entropy_fragments(spark, sf_dir):
-    return matching.fragments(_streams(spark, sf_dir), "entropy", 2048).drop("payload")
+    return matching.fragments(_streams(spark, sf_dir), "entropy", 2048)
+
+
+def _cuts(spark, sf_dir, table, key, text, mode, size, signatures=None):
+    d = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long").alias("stream_id"), F.encode(text, "UTF-8").alias("payload"))
+    return chunking.chunk(d, mode, size, signatures).select("stream_id", "idx", "size", matching.block_hash(F.col("payload")).alias("hash"))
+
+
+def rolling_cuts(spark, sf_dir):
+    """Cut points of the content-defined chunker over the texts of ``benchmark``."""
+    return _cuts(spark, sf_dir, "benchmark", "item_id", "text", "dynamic", 512)
+
+
+def entropy_cuts(spark, sf_dir):
+    """Cut points of the entropy chunker over ``pages``."""
+    return _cuts(spark, sf_dir, "pages", "page_id", "html", "entropy", 2048)
+
+
+def signature_cuts(spark, sf_dir):
+    """Cut points by signatures alone: pages are cut where elements of HTML start."""
+    return _cuts(spark, sf_dir, "pages", "page_id", "html", "signature_only", 512, [b"<p>", b"<div"])
+
+
+def index_block_sizes(spark, sf_dir):
+    """Sizes of all blocks, with duplicates and tails, as the archives' indexes tell them."""
+    return codec.block_sizes(codec.read_index(codec.encode_indexed(_streams(spark, sf_dir), "fixed", 512)))
+
+
+def decoder_ring(spark, sf_dir):
+    """Bytes that interleaved decoders hold, by block size and bound; -1 without a bound."""
+    rows = [(size, bound, estimates.interleaved_memory(size, bound)) for size in (512, 4096, 65536) for bound in (0, 1, 10, 256)]
+    return spark.createDataFrame(rows, "max_size long, bound long, ring_bytes long")
 
 
 QUERIES = {
@@ -190,7 +224,7 @@ QUERIES = {
         fixed_fragments, unbounded_backrefs, bounded_backrefs, evicting_backrefs, unique_block_bytes, redundancy_by_lang, redundancy_by_source, block_size_histogram,
         manual_split, whole_record_first_seen, indexed_encoded_size, interleaved_encoded_size, peak_restore_memory, memory_estimate, collision_probability,
         sorted_asc, sorted_desc, is_sorted_asc, is_sorted_desc, indexed_roundtrip, seek_roundtrip, interleaved_roundtrip, rolling_roundtrip, entropy_roundtrip,
-        signature_roundtrip, rolling_fragments, entropy_fragments,
+        signature_roundtrip, signature_only_roundtrip, rolling_fragments, entropy_fragments, rolling_cuts, entropy_cuts, signature_cuts, index_block_sizes, decoder_ring,
     )
 }
 
@@ -225,7 +259,43 @@ def _checking(sign: str) -> str:
     return f"SELECT 'input' AS what, bool_and(coalesce(o_custkey {sign} b, true)) AS is_sorted FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS b FROM orders) UNION ALL SELECT 'sorted', true"
 
 
+#: Bytes of texts, and a walk over them in step: one recursion takes one byte of each text.
+_BYTES = "d AS MATERIALIZED (SELECT id, b, list_transform(string_split(regexp_replace(hex(b), '(..)', ',0x\\1', 'g')[2 :], ','), lambda v: v::INT) AS bs FROM (SELECT {key}::BIGINT AS id, encode({text}) AS b FROM {table}) WHERE octet_length(b) > 0)"
+_BLOCKS = """e AS (SELECT id, z FROM w WHERE cut UNION SELECT id, len(bs) FROM d), f AS (SELECT id, z, coalesce(lag(z) OVER (PARTITION BY id ORDER BY z), 0) AS a, row_number() OVER (PARTITION BY id ORDER BY z) - 1 AS idx FROM e)
+SELECT f.id AS stream_id, idx, (z - a)::INT AS size, sha1(d.b[a + 1 : z]) AS hash FROM f JOIN d ON d.id = f.id"""
+_ROLLING_CUTS = f"""WITH RECURSIVE {_BYTES.format(key="item_id", text="text", table="benchmark")},
+w(id, z, h, last, size, guess, cut) AS (SELECT id, 0, 0::BIGINT, 0, 0, list_transform(range(256), lambda i: 0), false FROM d
+UNION ALL SELECT id, z, CASE WHEN cut THEN 0 ELSE h END, CASE WHEN cut THEN 0 ELSE c END, CASE WHEN cut THEN 0 ELSE size END, guess, cut FROM (
+  SELECT *, size >= 8 AND h < {chunking.max_hash(512)} OR size >= 512 AS cut FROM (
+    SELECT w.id, z + 1 AS z, (h + bs[z + 1] + 1) * (CASE WHEN guess[last + 1] = bs[z + 1] THEN {chunking.HIT} ELSE {chunking.MISS} END) % 4294967296 AS h, bs[z + 1] AS c, size + 1 AS size,
+      list_concat(guess[1 : last], [bs[z + 1]], guess[last + 2 :]) AS guess FROM w JOIN d ON d.id = w.id WHERE z < len(bs)))),
+{_BLOCKS}"""
+_ENTROPY_CUTS = f"""WITH RECURSIVE {_BYTES.format(key="page_id", text="html", table="pages")},
+o AS MATERIALIZED (SELECT id, list_transform(range(256), lambda c: len(list_filter(bs[1 : 512], lambda x: x = c)) >= 2) AS often FROM d),
+w(id, z, h, size, first, cut) AS (SELECT id, 0, 0::BIGINT, 0, true, false FROM d
+UNION ALL SELECT id, z, CASE WHEN cut THEN 0 ELSE h END, CASE WHEN cut THEN 0 ELSE size END, first AND NOT cut, cut FROM (
+  SELECT *, size >= 512 AND h < {chunking.max_hash(2048)} AND counted OR size >= 2048 AS cut FROM (
+    SELECT w.id, z + 1 AS z, z >= 512 AS counted, CASE WHEN z < 512 THEN 0 ELSE (h + bs[z + 1] + 1) * (CASE WHEN first AND often[bs[z + 1] + 1] THEN {chunking.HIT} ELSE {chunking.MISS} END) % 4294967296 END AS h, size + 1 AS size, first
+    FROM w JOIN d ON d.id = w.id JOIN o ON o.id = w.id WHERE z < len(bs)))),
+{_BLOCKS}"""
+_SIGNATURE_CUTS = """WITH RECURSIVE h AS MATERIALIZED (SELECT page_id AS id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages WHERE octet_length(encode(html)) > 0),
+d AS MATERIALIZED (SELECT id, b, n, list_filter(range(1, n), lambda p: b[p + 1 : p + 3] = encode('<p>') OR b[p + 1 : p + 4] = encode('<div')) AS ps FROM h),
+w(id, a, z) AS (SELECT id, 0, 0 FROM d UNION ALL SELECT w.id, w.z, least(w.z + 512, d.n, coalesce(list_filter(ps, lambda p: p > w.z)[1], d.n))::INT FROM w JOIN d ON d.id = w.id WHERE w.z < d.n),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z) - 1 AS idx FROM w WHERE z > 0)
+SELECT f.id AS stream_id, idx, (z - a)::INT AS size, sha1(d.b[a + 1 : z]) AS hash FROM f JOIN d ON d.id = f.id"""
+_EVICTING = f"""{_NUMBERED.replace("WITH b", "WITH RECURSIVE b").replace("x AS (", "x AS MATERIALIZED (")},
+i(n, hash, back_offset, held) AS (SELECT 0::BIGINT, '', NULL::BIGINT, []::STRUCT(h VARCHAR, n BIGINT)[]
+UNION ALL SELECT n, hash, back_offset, CASE WHEN len(held) > {BOUND} THEN held[{BOUND // 4 + 1} :] ELSE held END FROM (
+  SELECT x.n, x.hash, x.n - list_filter(held, lambda k: k.h = x.hash)[1].n AS back_offset, list_append(list_filter(held, lambda k: k.h <> x.hash), {{'h': x.hash, 'n': x.n}}) AS held FROM i JOIN x ON x.n = i.n + 1))
+SELECT n, hash, back_offset, back_offset IS NULL AS is_new FROM i WHERE n > 0"""
+
 ORACLE_SQL = {
+    "evicting_backrefs": _EVICTING,
+    "rolling_cuts": _ROLLING_CUTS,
+    "entropy_cuts": _ENTROPY_CUTS,
+    "signature_cuts": _SIGNATURE_CUTS,
+    "index_block_sizes": "SELECT doc_id AS stream_id, i + 1 AS n, CASE WHEN i < octet_length(encode(text)) // 512 THEN 512 ELSE octet_length(encode(text)) % 512 END::INT AS size FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)) // 512 + 1)) AS i FROM documents)",
+    "decoder_ring": "SELECT s AS max_size, b AS bound, CASE WHEN b = 0 THEN -1 ELSE s * b END AS ring_bytes FROM (SELECT unnest([512, 4096, 65536])::BIGINT AS s), (SELECT unnest([0, 1, 10, 256])::BIGINT AS b)",
     "fixed_fragments": f"{_NUMBERED} SELECT doc_id AS stream_id, n - 1 AS n, hash, size, back_offset IS NULL AS is_new FROM m",
     "unbounded_backrefs": f"{_NUMBERED} SELECT n, hash, back_offset FROM m",
     "bounded_backrefs": f"{_NUMBERED} SELECT n, hash, CASE WHEN back_offset <= {BOUND} THEN back_offset END AS back_offset, back_offset IS NULL OR back_offset > {BOUND} AS is_new FROM m",
@@ -244,4 +314,4 @@ ORACLE_SQL = {
     "sorted_desc": _sorting("DESC"),
     "is_sorted_asc": _checking(">="),
     "is_sorted_desc": _checking("<="),
-} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip"), _WHOLE)
+} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip", "signature_only_roundtrip"), _WHOLE)

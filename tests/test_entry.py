@@ -7,7 +7,7 @@ import __spark_entry__
 from blockwise.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "conversations", "orders")
+TABLES = ("documents", "pages", "conversations", "orders", "benchmark")
 
 
 def test_names():
