@@ -1,4 +1,4 @@
-"""Substring deduplication over a compacted de Bruijn graph of words.
+"""Removal of repeated substrings over a compacted de Bruijn graph of words.
 
 Every run of ``window`` consecutive words is an edge from the node of its first ``window - 1`` words to the node of its
 last ones. Edges that occur twice or more are kept. A node branches if two different kept edges enter or leave it; it
