@@ -65,6 +65,57 @@ class RollingChunker:
         return out
 
 
+LANES, FEW = 4096, 48  # streams that go in step at once; with fewer left, the rest goes one by one
+
+
+def rolling_ends(line: np.ndarray, bounds: np.ndarray, max_size: int) -> list[np.ndarray]:
+    """The ends that ``RollingChunker`` gives for each of many whole streams, which lie one behind the other in ``line``.
+    Streams of similar length go in step, a byte of each at a time, so a byte costs a share of a few array steps."""
+    lengths = np.diff(bounds)
+    order, found = np.argsort(-lengths, kind="stable"), [None] * len(lengths)
+    for begin in range(0, len(order), LANES):
+        lanes = order[begin : begin + LANES]
+        for lane, ends in zip(lanes.tolist(), _in_step(line, bounds[lanes], lengths[lanes], max_size)):
+            found[lane] = ends
+    return found
+
+
+def _in_step(line: np.ndarray, starts: np.ndarray, lengths: np.ndarray, max_size: int) -> list[np.ndarray]:
+    lanes, alone = len(lengths), RollingChunker(max_size)
+    steps = int(lengths[FEW - 1]) if lanes >= FEW else 0
+    factors, limit = np.array([MISS, HIT], np.uint32), np.uint32(alone.limit)
+    followers, own = np.zeros(lanes * 256, np.uint8), np.arange(lanes) * 256
+    at, context, total, size = starts.copy(), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32), np.zeros(lanes, np.int64)
+    going = lanes - np.cumsum(np.bincount(np.minimum(lengths, steps), minlength=steps + 1))
+    who, when, width = [], [], -1
+    for step, now in enumerate(going[:steps].tolist()):
+        if now != width:
+            width, views = now, [v[:now] for v in (at, own, context, total, size)]
+            at_, own_, context_, total_, size_ = views
+        byte, slot = line[at_], own_ + context_
+        predicted = followers[slot] == byte
+        followers[slot] = byte
+        total_ += byte
+        total_ += 1
+        total_ *= factors[predicted.view(np.uint8)]
+        size_ += 1
+        at_ += 1
+        context_[:] = byte
+        cut = np.flatnonzero((total_ < limit) & (size_ >= alone.least) | (size_ >= alone.most))
+        if len(cut):
+            who.append(cut)
+            when.append(np.full(len(cut), step + 1))
+            total_[cut] = size_[cut] = context_[cut] = 0
+    who, when = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, when))
+    when = when[np.argsort(who, kind="stable")]
+    out = np.split(when, np.cumsum(np.bincount(who, minlength=lanes))[:-1])
+    for lane in np.flatnonzero(lengths > steps).tolist():
+        alone.load({"last": int(context[lane]), "hash": int(total[lane]), "size": int(size[lane])}, followers[lane * 256 : lane * 256 + 256].tobytes())
+        rest = alone.ends(line[starts[lane] + steps : starts[lane] + lengths[lane]].tobytes())
+        out[lane] = np.concatenate([out[lane], np.array(rest, np.int64) + steps])
+    return out
+
+
 class EntropyChunker:
     """Cut points by byte frequency. The first ``least`` bytes of a stream (or behind a split) are only counted; then
     frequent bytes count as predicted until the first cut. From there on no byte does, which makes the hash a filter
@@ -266,11 +317,17 @@ def chunk(df: DataFrame, mode: str = "fixed", max_size: int = 4096, signatures:
 
     def per_row(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                cells = [c[i].as_py() for c in b.columns]
-                blocks = _blocks(cells[0], cut([cells[1]]))
-                more = [pa.array([v] * blocks.num_rows, f.type) for v, f in zip(cells[2:], list(b.schema)[2:])]
-                yield pa.RecordBatch.from_arrays([*blocks.columns, *more], [*blocks.schema.names, *b.schema.names[2:]])
+            if not b.num_rows:
+                continue
+            line, bounds = _flat(b.column(1))
+            if mode == "dynamic":
+                ends = rolling_ends(line, bounds, max_size)
+            else:
+                ends = []
+                for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    engine = chunker(mode, max_size, signatures)
+                    ends.append(np.array([*engine.ends(line[begin:end].tobytes()), *(end - begin + e for e in engine.close())], np.int64))
+            yield _slices(b, bounds, ends)
 
     def per_stream(table):
         order = np.argsort(table.column("seq").to_numpy(), kind="stable")
@@ -284,6 +341,30 @@ def chunk(df: DataFrame, mode: str = "fixed", max_size: int = 4096, signatures:
     return rows.repartition(tasks, "stream_id").mapInArrow(per_row, shape)
 
 
+def _flat(payloads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column without nulls, and where its cells begin and end in them."""
+    payloads = payloads.cast(pa.binary())
+    _, offsets, data = payloads.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(payloads) + 1, payloads.offset * 4).astype(np.int64)
+    return np.frombuffer(data, np.uint8), bounds
+
+
+def _slices(batch: pa.RecordBatch, bounds: np.ndarray, ends: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per block. Blocks lie in the order of their streams, so they share the bytes that came."""
+    rest = [not len(e) or int(e[-1]) < n for e, n in zip(ends, np.diff(bounds).tolist())]
+    counts = np.array([len(e) + r for e, r in zip(ends, rest)], np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    stops = np.concatenate([bounds[:1], *(np.append(e + a, z) if r else e + a for e, a, z, r in zip(ends, bounds[:-1], bounds[1:], rest))])
+    closed = np.ones(len(row), bool)
+    closed[(first + counts - 1)[rest]] = False
+    data = batch.column(1).cast(pa.binary()).buffers()[2]
+    payload = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), data])
+    more = [c.take(pa.array(row)) for c in batch.columns[2:]]
+    columns = [batch.column(0).take(pa.array(row)), pa.array(np.arange(len(row)) - first[row]), payload, pa.array(np.diff(stops).astype(np.int32)), pa.array(closed), *more]
+    return pa.RecordBatch.from_arrays(columns, ["stream_id", "idx", "payload", "size", "closed", *batch.schema.names[2:]])
+
+
 def _blocks(stream_id, blocks) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([stream_id] * len(blocks), pa.int64()), pa.array([b[0] for b in blocks], pa.int64()), pa.array([b[1] for b in blocks], pa.binary()), pa.array([len(b[1]) for b in blocks], pa.int32()), pa.array([b[2] for b in blocks], pa.bool_())], ["stream_id", "idx", "payload", "size", "closed"])
 

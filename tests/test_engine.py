@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,19 @@ def test_chunkers_against_definitions(size, kind):
     assert chunking.EntropyChunker(size).ends(data) == entropy_definition(data, size)
 
 
+def test_streams_in_step(monkeypatch):
+    """Streams cut in step have the cuts of streams cut alone, whatever their lengths and how many go at once."""
+    rnd = random.Random(11)
+    for few, lanes in ((1, 4096), (5, 16), (48, 4096)):
+        monkeypatch.setattr(chunking, "FEW", few)
+        monkeypatch.setattr(chunking, "LANES", lanes)
+        rows = [bytes(rnd.choices(b"aabbc \n\x00", k=rnd.choice([1, 7, 300, 2000, rnd.randint(1, 6000)]))) for _ in range(120)] + [rnd.randbytes(9000), bytes(3000)]
+        bounds = np.cumsum([0, *map(len, rows)])
+        got = chunking.rolling_ends(np.frombuffer(b"".join(rows), np.uint8), bounds, 512)
+        assert [e.tolist() for e in got] == [chunking.RollingChunker(512).ends(r) for r in rows]
+    assert chunking.rolling_ends(np.zeros(0, np.uint8), np.zeros(1, np.int64), 512) == []
+
+
 @pytest.mark.parametrize("mode", options.MODES)
 def test_pieces_change_no_cut(mode):
     """Whatever the pieces, and through dumps of the state, a stream has the same cuts."""
