@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import collision, estimates
 from ..operators import chunking, matching, ordering
-from ..sources import codec
-from ..storage import materialize
+from ..sources import archive, codec
+from ..storage import materialize, shared_dir
 
 SIZE, BOUND = 1024, 100
 
@@ -155,6 +157,12 @@ def seek_roundtrip(spark, sf_dir):
     return _same(codec.restore_by_range(materialize(codec.encode_indexed(_streams(spark, sf_dir), "dynamic", 2048), "archive")))
 
 
+def archive_roundtrip(spark, sf_dir):
+    """The corpus written to archive files, and read back by ranges."""
+    path = f"{shared_dir(spark)}/blockwise/archives-{uuid.uuid4().hex}"
+    return _same(archive.read(archive.write(_streams(spark, sf_dir), path, "dynamic", 2048), path))
+
+
 def interleaved_roundtrip(spark, sf_dir):
     return _same(codec.restore_by_range(materialize(codec.encode_interleaved(_streams(spark, sf_dir), "fixed", 512, 5120), "archive"), True))
 
@@ -223,7 +231,7 @@ QUERIES = {
     for f in (
         fixed_fragments, unbounded_backrefs, bounded_backrefs, evicting_backrefs, unique_block_bytes, redundancy_by_lang, redundancy_by_source, block_size_histogram,
         manual_split, whole_record_first_seen, indexed_encoded_size, interleaved_encoded_size, peak_restore_memory, memory_estimate, collision_probability,
-        sorted_asc, sorted_desc, is_sorted_asc, is_sorted_desc, indexed_roundtrip, seek_roundtrip, interleaved_roundtrip, rolling_roundtrip, entropy_roundtrip,
+        sorted_asc, sorted_desc, is_sorted_asc, is_sorted_desc, indexed_roundtrip, seek_roundtrip, archive_roundtrip, interleaved_roundtrip, rolling_roundtrip, entropy_roundtrip,
         signature_roundtrip, signature_only_roundtrip, rolling_fragments, entropy_fragments, rolling_cuts, entropy_cuts, signature_cuts, index_block_sizes, decoder_ring,
     )
 }
@@ -314,4 +322,4 @@ ORACLE_SQL = {
     "sorted_desc": _sorting("DESC"),
     "is_sorted_asc": _checking(">="),
     "is_sorted_desc": _checking("<="),
-} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip", "signature_only_roundtrip"), _WHOLE)
+} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "archive_roundtrip", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip", "signature_only_roundtrip"), _WHOLE)

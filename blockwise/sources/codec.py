@@ -43,7 +43,7 @@ def encode_indexed(streams: DataFrame, mode: str = "fixed", max_size: int = 4096
     def write(table):
         index, data = bytearray(head), bytearray()
         for kind, off, size, payload in _ordered(table):
-            index += _entry(kind, off, max_size - size)
+            index += entry(kind, off, max_size - size)
             data += payload or b""
             if kind == "end":
                 index += varint.encode(0)
@@ -59,7 +59,7 @@ def encode_interleaved(streams: DataFrame, mode: str = "fixed", max_size: int =
     def write(table):
         data = bytearray(head)
         for kind, off, size, payload in _ordered(table):
-            data += _entry(kind, off, max_size - size) + (payload or b"")
+            data += entry(kind, off, max_size - size) + (payload or b"")
             if kind == "end":
                 data += varint.encode(0)
         return pa.table({"stream_id": table.column("stream_id").slice(0, 1), "data": pa.array([bytes(data)], pa.binary())})
@@ -71,7 +71,8 @@ def _ordered(table):
     return zip(*(table.sort_by("n").column(c).to_pylist() for c in ("kind", "back_offset", "size", "payload")))
 
 
-def _entry(kind: str, off: int | None, short: int) -> bytes:
+def entry(kind: str, off: int | None, short: int) -> bytes:
+    """The bytes of an index entry."""
     if kind == "dup":
         return varint.encode(off)
     return varint.encode(0 if kind == "new" else varint.END_MARK) + varint.encode(short)

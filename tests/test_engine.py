@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from blockwise import options
 from blockwise.functions import collision, estimates, varint
 from blockwise.operators import chunking, matching, ordering
-from blockwise.sources import codec
+from blockwise.sources import archive, codec
 from blockwise.sources.seek import SeekSource
 
 SCHEMA = "stream_id long, payload binary"
@@ -302,6 +302,26 @@ def test_seek_source(spark, tmp_path):
     assert b"".join(bytes(r.payload) for r in got.orderBy("n").collect()) == data
 
 
+def test_archive_files(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(1, blocks_of(period10(80), 512, b"end")), (2, b""), (3, None), (4, b"x"), *((i, rnd.randbytes(rnd.randint(1, 3000)) * 2) for i in range(5, 40))]
+    df, path = spark.createDataFrame(rows, SCHEMA), str(tmp_path / "a")
+    archives = archive.write(df, path, "fixed", 512)
+    made = {r.stream_id: r for r in codec.encode_indexed(df, "fixed", 512).collect()}
+    for r in archives.collect():
+        for column, at, length in (("index", r.index_offset, r.index_bytes), ("data", r.data_offset, r.data_bytes)):
+            assert (tmp_path / "a" / f"{r.part}.{column}").read_bytes()[at : at + length] == bytes(made[r.stream_id][column])
+    got = {r.stream_id: bytes(r.payload or b"") for r in codec.reassemble(archive.read(archives, path)).collect()}
+    assert got == {i: p or b"" for i, p in rows}
+    some = archive.read(archives.where("stream_id = 1"), path, 30, 42).orderBy("n").collect()
+    assert [r.n for r in some] == list(range(30, 43)) and b"".join(bytes(r.payload) for r in some) == rows[0][1][29 * 512 : 42 * 512]
+    victim = tmp_path / "a" / f"{archives.where('stream_id = 1').first().part}.data"
+    victim.write_bytes(victim.read_bytes()[:100])
+    with pytest.raises(Exception, match="truncated data"):
+        archive.read(archives, path).collect()
+    assert archive.read(archive.write(df.limit(0), path + "0"), path + "0").count() == 0
+
+
 def test_hashes(spark):
     for name in options.HASHES:
         assert spark.range(1).select(matching.block_hash(F.lit(b"abc"), name)).first()[0] == hashlib.new(name, b"abc").hexdigest()
