@@ -10,6 +10,8 @@ from ..functions import collision, estimates
 from ..operators import chunking, matching, ordering
 from ..sources import archive, codec
 from ..storage import materialize, shared_dir
+from ..streaming import fragments as streams
+from ..streaming.drain import drain
 
 SIZE, BOUND = 1024, 100
 
@@ -226,6 +228,31 @@ def decoder_ring(spark, sf_dir):
     return spark.createDataFrame(rows, "max_size long, bound long, ring_bytes long")
 
 
+def _arriving(spark, sf_dir):
+    """``documents`` as a stream of rows, each of them a whole byte stream."""
+    path = f"{sf_dir}/documents.parquet"
+    d = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: a plain path of a stream must be a folder
+    return d.select(F.col("doc_id").cast("long").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.encode("text", "UTF-8").alias("payload"), F.lit(True).alias("is_last"))
+
+
+def streaming_fragments(spark, sf_dir):
+    """Fragments as a stateful streaming operator gives them; each stream's blocks are matched among themselves."""
+    d = drain(streams.stateful_fragments(_arriving(spark, sf_dir), "fixed", 512, bound=10), "streamed")
+    return d.select("stream_id", "n", "hash", "size", "is_new", "back_offset")
+
+
+def streaming_wire(spark, sf_dir):
+    """Streams encoded in one pass, decoded again."""
+    pieces = drain(streams.wire(_arriving(spark, sf_dir), "dynamic", 2048, bound=10), "streamed")
+    encoded = pieces.groupBy("stream_id").agg(F.expr("listagg(piece) within group (order by n)").alias("data"))
+    return _same(codec.restore_by_range(materialize(encoded, "archive"), True))
+
+
+def streaming_first_seen(spark, sf_dir):
+    """The first block of every hash in a stream of blocks."""
+    return drain(streams.first_seen(streams.fixed_blocks(_arriving(spark, sf_dir).drop("seq", "is_last"), 512)), "streamed").select("hash", "size")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -233,6 +260,7 @@ QUERIES = {
         manual_split, whole_record_first_seen, indexed_encoded_size, interleaved_encoded_size, peak_restore_memory, memory_estimate, collision_probability,
         sorted_asc, sorted_desc, is_sorted_asc, is_sorted_desc, indexed_roundtrip, seek_roundtrip, archive_roundtrip, interleaved_roundtrip, rolling_roundtrip, entropy_roundtrip,
         signature_roundtrip, signature_only_roundtrip, rolling_fragments, entropy_fragments, rolling_cuts, entropy_cuts, signature_cuts, index_block_sizes, decoder_ring,
+        streaming_fragments, streaming_wire, streaming_first_seen,
     )
 }
 
@@ -304,6 +332,8 @@ ORACLE_SQL = {
     "signature_cuts": _SIGNATURE_CUTS,
     "index_block_sizes": "SELECT doc_id AS stream_id, i + 1 AS n, CASE WHEN i < octet_length(encode(text)) // 512 THEN 512 ELSE octet_length(encode(text)) % 512 END::INT AS size FROM (SELECT doc_id, text, unnest(range(octet_length(encode(text)) // 512 + 1)) AS i FROM documents)",
     "decoder_ring": "SELECT s AS max_size, b AS bound, CASE WHEN b = 0 THEN -1 ELSE s * b END AS ring_bytes FROM (SELECT unnest([512, 4096, 65536])::BIGINT AS s), (SELECT unnest([0, 1, 10, 256])::BIGINT AS b)",
+    "streaming_fragments": f"WITH b AS ({_cut(512)}), m AS (SELECT doc_id, i AS n, sha1(p) AS hash, octet_length(p)::INT AS size, i - lag(i) OVER (PARTITION BY doc_id, sha1(p) ORDER BY i) AS off FROM b) SELECT doc_id AS stream_id, n, hash, size, off IS NULL OR off > 10 AS is_new, CASE WHEN off <= 10 THEN off END AS back_offset FROM m",
+    "streaming_first_seen": f"SELECT DISTINCT sha1(p) AS hash, octet_length(p)::INT AS size FROM ({_cut(512)})",
     "fixed_fragments": f"{_NUMBERED} SELECT doc_id AS stream_id, n - 1 AS n, hash, size, back_offset IS NULL AS is_new FROM m",
     "unbounded_backrefs": f"{_NUMBERED} SELECT n, hash, back_offset FROM m",
     "bounded_backrefs": f"{_NUMBERED} SELECT n, hash, CASE WHEN back_offset <= {BOUND} THEN back_offset END AS back_offset, back_offset IS NULL OR back_offset > {BOUND} AS is_new FROM m",
@@ -322,4 +352,4 @@ ORACLE_SQL = {
     "sorted_desc": _sorting("DESC"),
     "is_sorted_asc": _checking(">="),
     "is_sorted_desc": _checking("<="),
-} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "archive_roundtrip", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip", "signature_only_roundtrip"), _WHOLE)
+} | dict.fromkeys(("indexed_roundtrip", "seek_roundtrip", "archive_roundtrip", "streaming_wire", "interleaved_roundtrip", "rolling_roundtrip", "entropy_roundtrip", "signature_roundtrip", "signature_only_roundtrip"), _WHOLE)
