@@ -62,8 +62,9 @@ def word_chunks(docs: DataFrame, lower: bool, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(scan, "g long, n_words long, blob binary")
 
 
-def n_ranges(chunks: DataFrame) -> int:
-    return max(4, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // RANGE_KEYS))
+def n_ranges(chunks: DataFrame, keys: int = RANGE_KEYS) -> int:
+    """Ranges for the keys of all chunks; entries of more values need ranges of fewer ``keys``."""
+    return max(4, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // keys))
 
 
 RANGED = "r long, g long, blob binary"
@@ -94,12 +95,16 @@ def answers(ranged: DataFrame, combine: Callable) -> DataFrame:
                 first.append(int(at[0]))
                 parts.append((undelta(d), *values))
         size = np.array([len(p[0]) for p in parts])
-        keys, *values = (np.concatenate(c) for c in zip(*parts))
+        columns = list(zip(*parts))[::-1]
         del parts
+        keys = np.concatenate(columns.pop())
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, values = keys[order], []
+        while columns:  # one column at a time is held twice
+            values.append(np.concatenate(columns.pop())[order])
         fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
-        keep, found = combine(np.flatnonzero(fresh), [v[order] for v in values])
+        keep, found = combine(np.flatnonzero(fresh), values)
+        del values
         which = np.empty(len(keys), np.int64)  # of each entry as it came, its key
         which[order] = np.cumsum(fresh) - 1
         begin = np.cumsum(size) - size

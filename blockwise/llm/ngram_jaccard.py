@@ -42,6 +42,7 @@ LIST = 24  # lists of more sets, of different components, are compared in tiles
 TILE = 128
 BLOCK = 2000  # sets whose signatures are one row
 SALTS = 8
+LIST_KEYS = 700_000  # lists that a range of signatures shall hold: an entry of a list has six values
 
 
 def similar(shared, a, b, num: int, den: int):
@@ -168,6 +169,7 @@ def blocks(sets: DataFrame, num: int, den: int, rare: int = RARE) -> DataFrame:
                 size = np.array([len(s) for s in found], np.uint32)
                 blob = pack(np.concatenate(found), size, *(np.ascontiguousarray(c).view(np.uint64) for c in (ids, n, weight, comp)))
                 yield pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([int(size.sum())], pa.int64()), pa.array([blob], pa.binary())], ["g", "n_words", "blob"])
+        trim()
 
     return sets.select("id", "n", "weight", "component", "tokens").mapInArrow(run, "g long, n_words long, blob binary")
 
@@ -206,7 +208,7 @@ def _lists(starts: np.ndarray, values: list[np.ndarray]):
 def candidates(signed: DataFrame, num: int, den: int, across: bool, short: int = LIST) -> DataFrame:
     """(a, b, hot) of the blocks ``signed``. Not ``across``: the most central set of each list with each other one. Else,
     of lists with different components: all their pairs in short ones, and (most central set, member) in hot ones."""
-    ranges = n_ranges(signed)
+    ranges = n_ranges(signed, LIST_KEYS)
 
     def entries(batches):
         for b in batches:
@@ -214,6 +216,7 @@ def candidates(signed: DataFrame, num: int, den: int, across: bool, short: int =
                 lists = _Lists(blob)
                 if len(lists.first):
                     yield from to_ranges(g, lists.sig[lists.first], lists.says(), ranges)
+        trim()
 
     def told(g, blob, found):
         if not found[0]:
@@ -251,6 +254,7 @@ def candidates(signed: DataFrame, num: int, den: int, across: bool, short: int =
             held.append((i, i + step))
         x, y = (np.concatenate(h) for h in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
         yield _pairs(ids[x], ids[y], n[x], n[y], num, den).drop_columns(["blob"])
+        trim()
 
     lists = answers(signed.select("g", "blob").mapInArrow(entries, RANGED), _lists)
     found = met(signed, lists, run=told, schema="a long, b long, hot boolean, blob binary")
