@@ -1,7 +1,8 @@
 """Indexed archives as files: a sink that streams blocks to disk, and a reader with ranged reads.
 
 ``write`` packs many streams into one pair of files a task, so neither many small streams make many small files nor
-has a stream to fit into a cell or a task's memory: a task holds one block. The manifest tells where the index and the
+has an encoded stream to fit into a cell: the writing task holds an Arrow batch of blocks. Input rows are cells still,
+and payloads pass the matching of ``entries``. The manifest tells where the index and the
 data of each stream lie: (stream_id, part, index_offset, index_bytes, data_offset, data_bytes); the files of a part are
 ``<part>.index`` and ``<part>.data``. A part is named after the attempt that wrote it, and only attempts that ended well
 are in the manifest: lost executors leave files behind that nothing names. Null and empty streams have an index and
