@@ -219,18 +219,22 @@ def spelled_out(key: str) -> str:
 
 
 class Codec:
-    """Encodes chunks of texts; what it knows of segments is bounded by ``keep`` and one chunk."""
+    """Encodes chunks of texts; what it knows of segments is bounded by ``keep`` and one chunk: their ids as
+    comma-joined text, and the decoded text of those that decode to something else than their own spelling."""
 
     def __init__(self, model_path: str, keep: int = 200_000, check: bool = True) -> None:
-        self.vocab, self.keep, self.check, self.known = vocabulary(model_path), keep, check, {}
+        self.vocab, self.keep, self.check = vocabulary(model_path), keep, check
+        self.known: dict[str, str] = {}
+        self.other: dict[str, str] = {}
 
     def learn(self, keys: list[str]) -> None:
-        """Ids (as comma-joined text), their number and the decoded text of segments not known yet."""
+        """Ids and decoded text of segments not known yet."""
         v = self.vocab
         found = v.encode_segments([spelled_out(k) for k in keys])
         texts = list(map(v.decode, found))
         join, digits = ",".join, v.digits.__getitem__
-        self.known.update(zip(keys, zip([join(map(digits, ids)) for ids in found], map(len, found), texts)))
+        self.known.update(zip(keys, [join(map(digits, ids)) for ids in found]))
+        self.other.update((k, t) for k, t in zip(keys, texts) if t != " " + k)
         if self.check:
             self._agrees(keys, found, texts)
 
@@ -249,13 +253,14 @@ class Codec:
         for a, b in chunks_by_size(texts, CHUNK):
             split = [segments_of(t, self.vocab.lines_apart) for t in texts[a:b]]
             if len(self.known) > self.keep:
-                self.known = {}
-            known = self.known
+                self.known, self.other = {}, {}
+            known, other = self.known, self.other
             if fresh := list({s for part in split for s in part if s not in known}):
                 self.learn(fresh)
             for part in split:
-                ids, counts, said = zip(*[known[s] for s in part]) if part else ((), (), ())
-                yield ",".join(ids), sum(counts), "".join(said)[1:]
+                ids = ",".join(map(known.__getitem__, part))
+                said = " ".join(part) if other.keys().isdisjoint(part) else "".join([other.get(s) or " " + s for s in part])[1:]
+                yield ids, ids.count(",") + 1 if ids else 0, said
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, check: bool = True) -> DataFrame:
