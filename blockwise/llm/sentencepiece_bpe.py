@@ -30,8 +30,8 @@ from .common import chunks_by_size, id_text, trim
 MARK = "▁"
 WIDE = 48
 NONE = np.int64(2**62)
-CHUNK = 1_500_000  # characters whose segments a task holds at once
-ROWS = 500  # rows whose results it holds
+CHUNK = 500_000  # characters whose segments a task holds at once
+ROWS = 160  # rows whose results it holds
 OUTSIDE = 1 << 20  # symbols from here on are code points without a piece
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
