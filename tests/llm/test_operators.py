@@ -279,6 +279,21 @@ def test_sentencepiece(spark):
         assert got[i, lib.decode(ids)].ids == ids and got[i, lib.decode(ids)].n_tokens == len(ids)
 
 
+def test_what_is_known_of_segments_changes_nothing(monkeypatch):
+    """Caches that are dropped between small chunks, with segments that decode to something else than they spell."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    monkeypatch.setattr(sentencepiece_bpe, "CHUNK", 40)
+    rnd = random.Random(4)
+    parts = ["a", "the", " ", "  ", "\n", " \n", "\n ", "\t", "\u2581", "\u00e9", "e\u0301", "\U0001d11e", "\x00", "\u3000", "7", "ing", "\u0644", "x" * 60]
+    texts = ["", *("".join(rnd.choices(parts, k=rnd.randint(1, 25))) for _ in range(1500)), ""]
+    codec = sentencepiece_bpe.Codec(tokenizer_path(), keep=3)
+    for text, (ids, n, said) in zip(texts, codec.run(texts), strict=True):
+        want = lib.encode(text)
+        assert (ids, n, said) == (",".join(map(str, want)), len(want), lib.decode(want)), text
+
+
 def test_every_decoding_is_checked(monkeypatch):
     codec = sentencepiece_bpe.Codec(tokenizer_path(), check=True)
     right, seen = codec.vocab.decode, []
