@@ -220,14 +220,12 @@ def spelled_out(key: str) -> str:
 
 class Codec:
     """Encodes chunks of texts; what it knows of segments is bounded by ``keep`` and one chunk: their ids as
-    comma-joined text, and the decoded text of those that decode to something else than their own spelling. Of the
-    elder half, what no chunk asks for again is forgotten."""
+    comma-joined text, and the decoded text of those that decode to something else than their own spelling."""
 
     def __init__(self, model_path: str, keep: int = 200_000, check: bool = True) -> None:
         self.vocab, self.keep, self.check = vocabulary(model_path), keep, check
         self.known: dict[str, str] = {}
         self.other: dict[str, str] = {}
-        self.elder: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def learn(self, keys: list[str]) -> None:
         """Ids and decoded text of segments not known yet."""
@@ -254,16 +252,11 @@ class Codec:
         """(ids joined by commas, number of ids, decoded text) of each text."""
         for a, b in chunks_by_size(texts, CHUNK):
             split = [segments_of(t, self.vocab.lines_apart) for t in texts[a:b]]
-            if len(self.known) > self.keep // 2:
-                self.elder, self.known, self.other = (self.known, self.other), {}, {}
+            if len(self.known) > self.keep:
+                self.known, self.other = {}, {}
             known, other = self.known, self.other
-            fresh = {s for part in split for s in part if s not in known}
-            if again := fresh & self.elder[0].keys():
-                known.update((s, self.elder[0][s]) for s in again)
-                other.update((s, self.elder[1][s]) for s in again & self.elder[1].keys())
-                fresh -= again
-            if fresh:
-                self.learn(list(fresh))
+            if fresh := list({s for part in split for s in part if s not in known}):
+                self.learn(fresh)
             for part in split:
                 ids = ",".join(map(known.__getitem__, part))
                 said = " ".join(part) if other.keys().isdisjoint(part) else "".join([other.get(s) or " " + s for s in part])[1:]
