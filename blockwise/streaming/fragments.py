@@ -16,9 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import varint
@@ -28,13 +28,16 @@ from ..options import OptionError, check_size
 
 SHAPE = "stream_id long, n long, hash string, size int, is_new boolean, back_offset long, closed boolean"
 WIRE = "stream_id long, n long, piece binary"
+_ROW, _WIRE_ROW = (Row(*(c.split()[0] for c in shape.split(", "))) for shape in (SHAPE, WIRE))
 _ENGINE = "settings string, table binary, pending binary, n long, last_seq long, ended boolean"
 
 
 class FragmentProcessor(StatefulProcessor):
     """State of a stream: what its chunker carries (as named fields), pending bytes, next number, last seq and whether it
-    has ended, as one value; and hash -> latest number as a map. ``bound`` forgets hashes that are out of reach, every
-    ``SWEEP`` blocks; ``index_bound`` drops the least recently used quarter when more hashes are held."""
+    has ended, as one value; and hash -> latest number as a map. Every call of the state store is a message to the JVM, so
+    what a micro-batch adds to the map is held by the task until the stream's rows are done, and a stream that ends in the
+    micro-batch in which it began never touches the map. ``bound`` forgets hashes that are out of reach, every ``SWEEP``
+    blocks; ``index_bound`` drops the least recently used quarter when more hashes are held."""
 
     SWEEP = 65536
 
@@ -45,26 +48,28 @@ class FragmentProcessor(StatefulProcessor):
         self.value = handle.getValueState("stream", _ENGINE)
         self.index = handle.getMapState("index", "hash string", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         engine, pending, n, last, ended = chunker(self.mode, self.max_size, self.signatures), b"", 0, None, False
-        if self.value.exists():
+        if known := self.value.exists():
             settings, table, pending, n, last, ended = self.value.get()
             if not ended:
                 engine.load(json.loads(settings), bytes(table))
             pending = bytes(pending)
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out, recent = [], None
+        began, fresh, recent = n, {}, None  # fresh: hash -> latest number of this micro-batch's blocks
+        row, out = (_WIRE_ROW if self.wire else _ROW), []
         if self.index_bound:  # the index is small: it is held in order of use and written back
             recent = EvictingIndex(self.index_bound)
-            recent.seen.update((h, at) for at, h in sorted((at, h) for (h,), (at,) in self.index.iterator()))
+            if known:
+                recent.seen.update((h, at) for at, h in sorted((at, h) for (h,), (at,) in self.index.iterator()))
         if not n and last is None and self.wire:
-            out.append((key[0], -1, varint.encode(2) + varint.encode(self.max_size) + varint.encode(self.bound)))
+            out.append(row(key[0], -1, varint.encode(2) + varint.encode(self.max_size) + varint.encode(self.bound)))
 
         def offset(h: str) -> int | None:
             if recent is not None:
                 return recent.back_offset(h, n)
-            before = self.index.getValue((h,))[0] if self.index.containsKey((h,)) else None
-            self.index.updateValue((h,), (n,))
+            before, fresh[h] = fresh.get(h), n
+            if before is None and known and (self.bound is None or n - began < self.bound) and self.index.containsKey((h,)):
+                before = self.index.getValue((h,))[0]
             return n - before if before is not None and (self.bound is None or n - before <= self.bound) else None
 
         def emit(block: bytes, closed: bool) -> None:
@@ -72,16 +77,15 @@ class FragmentProcessor(StatefulProcessor):
             h = hashlib.sha1(block).hexdigest()
             off = offset(h) if closed or not self.wire else None
             if not self.wire:
-                out.append((key[0], n, h, len(block), off is None, off, closed))
+                out.append(row(key[0], n, h, len(block), off is None, off, closed))
             elif closed:
-                out.append((key[0], n, varint.encode(off) if off else varint.encode(0) + varint.encode(self.max_size - len(block)) + block))
+                out.append(row(key[0], n, varint.encode(off) if off else varint.encode(0) + varint.encode(self.max_size - len(block)) + block))
             n += 1
             if self.bound and n % self.SWEEP == 0:
-                for (old,), (at,) in list(self.index.iterator()):
-                    if n - at > self.bound:
-                        self.index.removeKey((old,))
+                for old in [h for h, at in fresh.items() if n - at > self.bound]:
+                    del fresh[old]
 
-        for seq, payload, is_last in zip(batch["seq"], batch["payload"], batch["is_last"]):
+        for seq, payload, is_last in sorted(((r.seq, r.payload, r.is_last) for r in rows), key=itemgetter(0)):
             if ended:
                 raise ValueError(f"stream {key[0]}: seq {seq} behind its end")
             if last is not None and seq <= last:
@@ -98,25 +102,31 @@ class FragmentProcessor(StatefulProcessor):
                     pending = pending[len(pending) + end :]
                 if self.wire:
                     tail = varint.encode(varint.END_MARK) + varint.encode(self.max_size - len(pending)) + pending + varint.encode(0)
-                    out.append((key[0], n, tail))
+                    out.append(row(key[0], n, tail))
                 elif pending:
                     emit(pending, False)
                 ended = True
         if ended:
-            self.index.clear()
+            if known:
+                self.index.clear()
             self.value.update((json.dumps({}), b"", b"", n, last, True))
         else:
             settings, table = engine.dump()
             self.value.update((json.dumps(settings), table, pending, n, last, False))
             if recent is not None:
-                held = {h for (h,), _ in self.index.iterator()}
+                held = {h for (h,), _ in self.index.iterator()} if known else set()
                 for h in held - recent.seen.keys():
                     self.index.removeKey((h,))
-                for h, at in recent.seen.items():
-                    self.index.updateValue((h,), (at,))
-        shape = WIRE if self.wire else SHAPE
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")])
-        yield found if self.wire else found.astype({"back_offset": "Int64"})
+                fresh = recent.seen
+            elif self.bound:
+                if known and n // self.SWEEP > began // self.SWEEP:
+                    for (old,), (at,) in list(self.index.iterator()):
+                        if n - at > self.bound:
+                            self.index.removeKey((old,))
+                fresh = {h: at for h, at in fresh.items() if n - at <= self.bound}
+            for h, at in fresh.items():
+                self.index.updateValue((h,), (at,))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -128,7 +138,7 @@ def stateful_fragments(stream: DataFrame, mode: str = "fixed", max_size: int = 4
     if bound and index_bound:
         raise OptionError("either a distance or an index is bounded")
     processor = FragmentProcessor(mode, max_size, bound, index_bound, signatures, False)
-    return stream.groupBy("stream_id").transformWithStateInPandas(processor, SHAPE, "append", "None")
+    return stream.groupBy("stream_id").transformWithState(processor, SHAPE, "append", "None")
 
 
 def wire(stream: DataFrame, mode: str = "fixed", max_size: int = 4096, bound: int = 256, signatures: list[bytes] | None = None) -> DataFrame:
@@ -136,7 +146,7 @@ def wire(stream: DataFrame, mode: str = "fixed", max_size: int = 4096, bound: in
     check_size(mode, max_size)
     if bound < 1:
         raise OptionError("the bound must be one block at least")
-    return stream.groupBy("stream_id").transformWithStateInPandas(FragmentProcessor(mode, max_size, bound, None, signatures, True), WIRE, "append", "None")
+    return stream.groupBy("stream_id").transformWithState(FragmentProcessor(mode, max_size, bound, None, signatures, True), WIRE, "append", "None")
 
 
 def first_seen(blocks: DataFrame) -> DataFrame:
